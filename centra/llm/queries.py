@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from centra.llm import bpe, decontaminate, language, line_dedup, quality, quality_rules, simhash, sql
+from centra.llm import bpe, decontaminate, language, line_dedup, quality, quality_rules, simhash, sql, substring_dedup
 from centra.llm.shared import bucket_of, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op6_line_dedup, op8_simhash, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_substring_dedup, op6_line_dedup, op8_simhash, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
