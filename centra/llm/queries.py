@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from centra.llm import bpe, decontaminate, language, line_dedup, quality, quality_rules, simhash, sql, substring_dedup
+from centra.llm import bpe, decontaminate, language, line_dedup, pii, quality, quality_rules, simhash, sql, substring_dedup
 from centra.llm.shared import bucket_of, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_substring_dedup, op6_line_dedup, op8_simhash, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_substring_dedup, op6_line_dedup, op7_pii, op8_simhash, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
