@@ -82,7 +82,8 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
         return schema_paths(kind.elementType, f"{at}[]")
     if not isinstance(kind, T.StructType):
         return set()
-    return {p for f in kind.fields if at or f.name not in METADATA for p in ({name := f"{at}.{f.name}" if at else f.name} | schema_paths(f.dataType, name))}
+    named = {f"{at}.{f.name}" if at else f.name: f.dataType for f in kind.fields if at or f.name not in METADATA}
+    return set(named).union(*(schema_paths(inner, name) for name, inner in named.items()))
 
 
 def record_paths(value: object, at: str = "") -> set[str]:
@@ -91,13 +92,17 @@ def record_paths(value: object, at: str = "") -> set[str]:
         return {p for x in value for p in record_paths(x, f"{at}[]")}
     if not isinstance(value, dict):
         return set()
-    return {p for k, x in value.items() if x is not None and (at or k not in METADATA) for p in ({name := f"{at}.{k}" if at else k} | record_paths(x, name))}
+    named = {f"{at}.{k}" if at else k: x for k, x in value.items() if x is not None and (at or k not in METADATA)}
+    return set(named).union(*(record_paths(x, name) for name, x in named.items()))
 
 
 TURNS = "array<struct<role:string,text:string>>"
 
 
-def _role(c: Column) -> Column:
+def _role(c: Column, own: bool) -> Column:
+    """The canonical name of a role; a layout with the canonical field names has its own."""
+    if own:
+        return F.coalesce(c, F.lit(""))
     known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     return F.coalesce(F.try_element_at(known, F.lower(c)), c, F.lit(""))
 
@@ -110,7 +115,7 @@ def canonical(records: DataFrame, key: str = "conv_id") -> DataFrame:
     layout = MAPPINGS[found]
     if layout.messages:
         at, role, text, order = layout.messages
-        one = lambda m: F.struct(_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
+        one = lambda m: F.struct(_role(m[role], role == "role").alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
         listed = F.col(at)
         if order:
             listed = F.array_sort(F.transform(listed, lambda m: F.struct(m[order].alias("o"), F.coalesce(m[role], F.lit("")).alias(role), F.coalesce(m[text], F.lit("")).alias(text))))
@@ -126,8 +131,8 @@ def merged(turns: Column) -> Column:
         turns,
         F.array().cast(TURNS),
         lambda done, t: F.when(
-            (F.size(done) > 0) & (F.element_at(done, F.greatest(F.size(done), F.lit(1)) * 0 - 1)["role"] == t["role"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(t["role"].alias("role"), F.concat(F.element_at(done, -1)["text"], F.lit("\n\n"), t["text"]).alias("text")))),
+            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == t["role"]),
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(t["role"].alias("role"), F.concat(F.try_element_at(done, F.lit(-1))["text"], F.lit("\n\n"), t["text"]).alias("text")))),
         ).otherwise(F.concat(done, F.array(t))),
     )
 
@@ -144,7 +149,8 @@ def record_turns(record: str | None) -> list[tuple[str, str]] | None:
     if layout.messages:
         at, role, text, order = layout.messages
         listed = sorted(value[at], key=lambda m: m.get(order)) if order else value[at]
-        return [(ROLES.get(str(m.get(role) or "").lower(), str(m.get(role) or "")), str(m.get(text) or "")) for m in listed]
+        known = {} if role == "role" else ROLES
+        return [(known.get(str(m.get(role) or "").lower(), str(m.get(role) or "")), str(m.get(text) or "")) for m in listed]
     turns: list[tuple[str, str]] = []
     for field, role in layout.fields:
         if value.get(field) is not None:

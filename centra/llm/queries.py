@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from centra.llm import bpe, decontaminate, language, line_dedup, pii, quality, quality_rules, simhash, sql, substring_dedup
+from centra.llm import bpe, chat, decontaminate, language, line_dedup, pii, quality, quality_rules, simhash, sql, substring_dedup
 from centra.llm.shared import bucket_of, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +34,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.report(rows.unionByName(own))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_substring_dedup, op6_line_dedup, op7_pii, op8_simhash, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_substring_dedup, op5_chat, op6_line_dedup, op7_pii, op8_simhash, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
