@@ -30,7 +30,10 @@ from centra.llm.shared import cut
 
 SHINGLE, BUDGET, SEED, EQUAL_BLOCKS = 3, 2, 42, 4
 #: Rows of groups that are searched at once, pairs of trie nodes that are descended at once, and products of sizes that are compared outright.
-ROWS, FRONTIER, DIRECT = 250_000, 500_000, 32
+ROWS, FRONTIER, DIRECT, COMPARED = 250_000, 500_000, 32, 2_000_000
+
+#: Of the dedup by similarity: bits that may differ of 64 * COLUMNS, and the groups that are searched.
+SIMILARITY, COLUMNS, BANDS, BAND_ROWS, WIDE_DIRECT = 0.8, 4, 16, 5, 4096
 
 
 def words(text: str | None) -> list[bytes]:
@@ -38,22 +41,29 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def fingerprint(split: list[bytes], shingle: int = SHINGLE) -> int:
-    n = len(split) - shingle + 1
+def shingle_hashes(split: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of all shingles, repeats included; fewer words than a shingle has are one."""
     if not split:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if n <= 1:
-        return digest(b" ".join(split), SEED)
-    text = b" ".join(split)
+        return np.zeros(0, "u8")
+    n = max(1, len(split) - shingle + 1)
+    text, digest = b" ".join(split), xxhash.xxh64_intdigest
+    if n == 1:
+        return np.array([digest(text, SEED)], "u8")
     ends = np.cumsum(np.fromiter(map(len, split), "i8", len(split)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), "<u8", n)
+    return np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), "u8", n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero for none."""
     ones = np.zeros(64, "i8")
-    for i in range(0, n, 1 << 16):
-        bits = np.unpackbits(hashes[i : i + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype="i4")
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i4")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(split: list[bytes], shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(split, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,9 +83,31 @@ def masks(budget: int) -> list[int]:
     return [sum(1 << int(b) for block in chosen for b in block) for chosen in itertools.combinations(blocks, EQUAL_BLOCKS)]
 
 
-def _pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs at most `budget` bits apart within each range of x, whose values are distinct and in order."""
-    stack = [(63, lo, hi, lo, hi, np.zeros(len(lo), "i1"))]
+def _near(x: np.ndarray, i: np.ndarray, j: np.ndarray, budget: int) -> np.ndarray:
+    return np.bitwise_count(x[i] ^ x[j]).sum(1, dtype="i4") <= budget
+
+
+def _direct(x: np.ndarray, al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Compares all of each pair of ranges, so many pairs at a time that the arrays stay small."""
+    size = (ah - al) * (bh - bl)
+    total = np.cumsum(size)
+    begin = 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + COMPARED, side="right")))
+        own, m = size[begin:end], (bh - bl)[begin:end]
+        of = np.repeat(np.arange(end - begin), own)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(own) - own, own)
+        i, j = al[begin:end][of] + k // m[of], bl[begin:end][of] + k % m[of]
+        i, j = i[i < j], j[i < j]
+        near = _near(x, i, j, budget)
+        if near.any():
+            yield i[near], j[near]
+        begin = end
+
+
+def _pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, direct: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs at most `budget` bits apart within each range of x, whose rows (columns of 64 bits) are in order."""
+    stack = [(64 * x.shape[1] - 1, lo, hi, lo, hi, np.zeros(len(lo), "i2"))]
     ones: dict[int, np.ndarray] = {}
     while stack:
         bit, al, ah, bl, bh, err = stack.pop()
@@ -83,23 +115,23 @@ def _pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> Iterat
             half = len(al) // 2
             stack += [(bit, *(v[:half] for v in (al, ah, bl, bh, err))), (bit, *(v[half:] for v in (al, ah, bl, bh, err)))]
             continue
-        small = ((ah - al) * (bh - bl) <= DIRECT) | (bit < 0)
+        if bit < 0:
+            # What is left has no more differing bits than the budget: one link a pair of nodes, a chain in a node.
+            inner = np.repeat(al[al == bl], (ah - al - 1)[al == bl])
+            step = np.arange(len(inner)) - np.repeat(np.cumsum((ah - al - 1)[al == bl]) - (ah - al - 1)[al == bl], (ah - al - 1)[al == bl])
+            yield np.concatenate([al, inner + step]), np.concatenate([bl, inner + step + 1])
+            continue
+        small = (ah - al) * (bh - bl) <= direct
         if small.any():
-            s = np.flatnonzero(small)
-            n, m = ah[s] - al[s], bh[s] - bl[s]
-            size = n * m
-            of = np.repeat(np.arange(len(s)), size)
-            k = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-            i, j = al[s][of] + k // m[of], bl[s][of] + k % m[of]
-            near = (np.bitwise_count(x[i] ^ x[j]) <= budget) & (i < j)
-            if near.any():
-                yield i[near], j[near]
+            yield from _direct(x, al[small], ah[small], bl[small], bh[small], budget)
             rest = ~small
             al, ah, bl, bh, err = al[rest], ah[rest], bl[rest], bh[rest], err[rest]
         if not len(al):
             continue
         if bit not in ones:
-            ones[bit] = np.concatenate([[0], np.cumsum((x >> np.uint64(bit)) & np.uint64(1), dtype="i8")])
+            # Ones below each place: within a node, rows with a one at this bit follow those without.
+            column = x[:, x.shape[1] - 1 - bit // 64]
+            ones[bit] = np.concatenate([[0], np.cumsum((column >> np.uint64(bit % 64)) & np.uint64(1), dtype="i8")])
         c = ones[bit]
         am, bm = ah - (c[ah] - c[al]), bh - (c[bh] - c[bl])
         same = al == bl
@@ -119,10 +151,10 @@ def _pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> Iterat
             stack.append((bit - 1, *merged))
 
 
-def _forest(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each linked value to the first of its component within its range."""
+def _forest(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, direct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, as indices, from each linked row to the first of its component within its range."""
     root = np.arange(len(x))
-    for i, j in _pairs(x, lo, hi, budget):
+    for i, j in _pairs(x, lo, hi, budget, direct):
         while len(i):
             a, b = root[i], root[j]
             low, high = np.minimum(a, b), np.maximum(a, b)
@@ -132,49 +164,56 @@ def _forest(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tuple
             apart = root[i] != root[j]
             i, j = i[apart], j[apart]
     moved = np.flatnonzero(root != np.arange(len(x)))
-    return x[moved], x[root[moved]]
+    return moved, root[moved]
 
 
-def _search(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """`group` has equal values next to each other."""
+def _search(group: np.ndarray, x: np.ndarray, node: np.ndarray, budget: int, direct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between nodes; `group` has equal rows next to each other, x the fingerprints, the highest 64 bits first."""
     edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1), [True]]))
     sizes = np.diff(edges)
     number = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((fp, number))
+    order = np.lexsort((*x.T[::-1], number))
     order = order[sizes[number[order]] > 1]
-    x, number = fp[order], number[order]
-    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(x) else np.zeros(0, "i8")
-    return _forest(x, starts, np.append(starts[1:], len(x)), budget) if len(x) else (x, x)
+    if not len(order):
+        return node[:0], node[:0]
+    x, number, node = x[order], number[order], node[order]
+    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    u, v = _forest(x, starts, np.append(starts[1:], len(x)), budget, direct)
+    return node[u], node[v]
 
 
-def links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (u, v) that connect what lies within the budget."""
-    keys = F.array(*[F.struct(F.lit(i).cast("bigint").alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("part")) for i, m in enumerate(masks(budget))])
-    dealt = nodes.select("fp", F.inline(keys)).repartition("choice", "part").sortWithinPartitions("choice", "part")
+def _grouped(dealt: DataFrame, width: int, budget: int, direct: int) -> DataFrame:
+    """Rows (two of a group's key, node, `width` of a fingerprint), a group's rows together, to edges (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(u.view("i8"), pa.int64()), pa.array(v.view("i8"), pa.int64())], ["u", "v"])
+        def search(rows: np.ndarray) -> pa.RecordBatch:
+            u, v = _search(rows[:, :2], np.ascontiguousarray(rows[:, 3:]).view("u8"), rows[:, 2], budget, direct)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for b in batches:
-            held.append(np.column_stack([b.column(i).to_numpy() for i in (1, 2, 0)]))
+            held.append(np.column_stack([b.column(i).to_numpy() for i in range(3 + width)]))
             size += b.num_rows
             if size >= ROWS:
                 rows = np.concatenate(held)
                 last = (rows[:, :2] == rows[-1, :2]).all(1)
-                whole = rows[~last]
                 held, size = [rows[last]], int(last.sum())
-                if len(whole):
-                    yield out(*_search(whole[:, :2], np.ascontiguousarray(whole[:, 2]).view("u8"), budget))
+                if size < len(rows):
+                    yield search(rows[~last])
         if size:
-            rows = np.concatenate(held)
-            yield out(*_search(rows[:, :2], np.ascontiguousarray(rows[:, 2]).view("u8"), budget))
+            yield search(np.concatenate(held))
 
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
+def links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Distinct fingerprints (fp) to edges (u, v) that connect what lies within the budget."""
+    keys = F.array(*[F.struct(F.lit(i).cast("bigint").alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("part")) for i, m in enumerate(masks(budget))])
+    dealt = nodes.select("fp", F.inline(keys)).repartition("choice", "part").sortWithinPartitions("choice", "part")
+    return _grouped(dealt.select("choice", "part", F.col("fp").alias("node"), "fp"), 1, budget, DIRECT)
+
+
 def components_of(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest id of the documents whose fingerprints can be reached by links."""
     prints = cut(fingerprints(docs, shingle, key, text))
@@ -187,6 +226,66 @@ def components_of(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET,
     return prints.join(named, F.col("fp") == F.col("node_")).select("doc_id", "fp", "component_id")
 
 
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype="u8") * np.uint64(2) + np.uint64(1)
+
+
+def _sketch(split: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint's columns, and one key a band: a hash of BAND_ROWS least values under as many permutations of the shingles' hashes."""
+    hashes = shingle_hashes(split, shingle)
+    if not len(hashes):
+        return np.zeros(COLUMNS, "u8"), np.zeros(BANDS, "u8")
+    columns = []
+    for salt in _odd(COLUMNS, 1):
+        h = hashes * salt
+        columns.append(majority(h ^ (h >> np.uint64(32))))
+    least = np.full(BANDS * BAND_ROWS, np.iinfo("u8").max, "u8")
+    salts, h = _odd(BANDS * BAND_ROWS, 2), np.unique(hashes)
+    for i in range(0, len(h), 4096):
+        mixed = h[i : i + 4096, None] * salts
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(0))
+    keys = (least.reshape(BANDS, BAND_ROWS) * _odd(BAND_ROWS, 3)).sum(1, dtype="u8")
+    return np.array(columns, "u8"), keys
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, two halves of a 128-bit name of the words, the fingerprint's columns, and the bands' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, prints, keys = np.zeros((b.num_rows, 2), "u8"), np.zeros((b.num_rows, COLUMNS), "u8"), np.zeros((b.num_rows, BANDS), "u8")
+            for i, t in enumerate(b.column(1).to_pylist()):
+                split = words(t)
+                name = xxhash.xxh3_128_intdigest(b" ".join(split))
+                names[i] = name >> 64, name & 0xFFFFFFFFFFFFFFFF
+                prints[i], keys[i] = _sketch(split, shingle)
+            numbers = [*names.T, *prints.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view("i8"), pa.int64()) for c in numbers), pa.array(list(keys.view("i8")), pa.list_(pa.int64()))], ["doc_id", "t0", "t1", *(f"f{i}" for i in range(COLUMNS)), "keys"])
+
+    kinds = ", ".join(f"f{i} bigint" for i in range(COLUMNS))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, t0 bigint, t1 bigint, {kinds}, keys array<bigint>")
+
+
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, with one of each group of near duplicates: that with the smallest id.
+
+    Similarity is the share of equal bits of fingerprints of 64 * COLUMNS bits over shingles of five words. A fifth
+    of the bits is too large a budget to cut into equal blocks, so the groups that are searched by trie are made of
+    texts that share a band of least hashes; two texts that share 0.8 of their shingles have one of the bands in
+    common but for one pair in 500. Equal texts are one node before that. Rows that repeat an id stay
+    together, and so do rows without an id.
+    """
+    got = cut(sketches(docs, shingle))
+    first = cut(got.groupBy("t0", "t1").agg(F.min("doc_id").alias("node")).select("node"))
+    nodes = got.join(first, F.col("doc_id") == F.col("node"), "left_semi")
+    prints = [f"f{i}" for i in range(COLUMNS)]
+    dealt = nodes.select("doc_id", *prints, F.posexplode("keys").alias("band", "key")).repartition("band", "key").sortWithinPartitions("band", "key")
+    budget = round((1 - similarity) * 64 * COLUMNS)
+    joined = graph.components(_grouped(dealt.select(F.col("band").cast("bigint"), "key", F.col("doc_id").alias("node"), *prints), COLUMNS, budget, WIDE_DIRECT))
+    kept = first.join(joined.select(F.col("node").alias("other")), F.col("node") == F.col("other"), "left_anti")
+    return docs.join(kept, docs["doc_id"].cast("bigint") == kept["node"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
     return components_of(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
