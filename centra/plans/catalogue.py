@@ -564,7 +564,7 @@ def opq_rotate_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same engine on columns of other tables.
 
-_LINES = "p AS MATERIALIZED (SELECT l_orderkey * 10 + l_linenumber AS id, [l_quantity / 50, l_discount * 10, l_tax * 10] AS v FROM lineitem)"
+_LINES = "p AS MATERIALIZED (SELECT row_number() OVER () AS id, [l_quantity / 50, l_discount * 10, l_tax * 10] AS v FROM lineitem)"
 _SEEDS = np.round(np.random.default_rng(5).random((8, 3)), 6)
 _SEEDED = "c0 AS MATERIALIZED (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {sql.numbers(r)})" for i, r in enumerate(_SEEDS)) + ") t(cid, c))"
 
