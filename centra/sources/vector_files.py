@@ -1,8 +1,7 @@
 """Vector files: fbin, u8bin and i8bin (n and d as little-endian int32, then the rows), fvecs and bvecs (d before each
 row), and text embeddings (a key, a tab, comma-separated numbers).
 
-Files are read in ranges of rows: Spark's binaryFile source gives a whole file as one row, so files over a split
-are read by `binaryRecords` with the header skipped in place. Ids are places in the file.
+Ids are places in the file.
 """
 
 from __future__ import annotations
@@ -39,11 +38,7 @@ def header(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def read_bin(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """id, v of a vector file with a header.
-
-    Records of one row's length cut the file anew: record r holds bytes of two rows, as the header shifts them. Each
-    record is thus given its row by the bytes of its neighbour, which is the next one.
-    """
+    """id, v of a vector file with a header: as one value of Spark's binaryFile source if small, in ranges of rows otherwise."""
     code, size = _kind(kind)
     n, d = header(spark, path)
     if n <= 0 or d <= 0:
@@ -68,46 +63,35 @@ def read_bin(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return _ranged(spark, path, n, d, kind)
 
 
-#: Bytes up to which a file is read as one value.
-WHOLE = 64 << 20
+#: Bytes up to which a file is read as one value, and of a range of a larger one.
+WHOLE, RANGE = 64 << 20, 64 << 20
 
 
 def _ranged(spark: SparkSession, path: str, n: int, d: int, kind: str) -> DataFrame:
-    """A large file in splits: fixed records of one row's bytes, then each row joined from the records it lies in."""
+    """A large file in ranges of rows, each read by a task of its own through Arrow's file systems (local or shared paths, hdfs, s3, gs)."""
     code, size = KINDS[kind]
     width = d * size
-    if width < HEADER:  # rows narrower than the header: records of several rows hold a row and the header
-        raise ValueError("rows of under 8 bytes are read from files up to 64 MB only")
-    total = HEADER + n * width
-    pad = (-total) % width  # the last record may be short: binaryRecords drops it, so its rows are read by themselves
-    records = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    frame = spark.createDataFrame(records, "r bigint, b binary")
-    head = frame.select(F.col("r").alias("id"), F.expr(f"substring(b, {HEADER + 1}, {width - HEADER})").alias("head"))
-    tail = frame.select((F.col("r") - 1).alias("id"), F.expr(f"substring(b, 1, {HEADER})").alias("tail"))
-    last = n - 1
-    joined = head.where(F.col("id") <= last).join(tail, "id", "left")
-    if pad:
-        end = spark.createDataFrame([(last, bytearray(_tail(spark, path, total - HEADER)))], "id bigint, end binary")
-        joined = joined.join(F.broadcast(end), "id", "left").withColumn("tail", F.coalesce("tail", "end")).drop("end")
+    per = max(1, RANGE // width)
+    parts = -(-n // per)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         from centra.operators.points import lists
 
+        files, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), code).reshape(-1, d)
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(x.astype("f8"))], ["id", "v"])
-
-    return joined.select("id", F.concat("head", "tail").alias("b")).mapInArrow(run, "id bigint, v array<double>")
-
-
-def _tail(spark: SparkSession, path: str, at: int) -> bytes:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
-    try:
-        stream.seek(at)
-        return bytes(stream.read() & 0xFF for _ in range(HEADER))
-    finally:
-        stream.close()
+            for part in b.column(0).to_pylist():
+                with files.open_input_file(name) as f:
+                    step = max(1, (4 << 20) // (d * 8))
+                    for at in range(part * per, min(n, (part + 1) * per), step):
+                        rows = min(step, min(n, (part + 1) * per) - at)
+                        raw = f.read_at(rows * width, HEADER + at * width)
+                        if len(raw) < rows * width:
+                            raise ValueError(f"the file is shorter than {n} x {d} of {kind}")
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + rows), pa.int64()), lists(np.frombuffer(raw, code).reshape(rows, d).astype("f8"))], ["id", "v"])
+
+    return spark.range(0, parts, 1, parts).mapInArrow(run, "id bigint, v array<double>")
 
 
 def read_vecs(spark: SparkSession, path: str, kind: str = "float") -> DataFrame:
