@@ -57,29 +57,30 @@ def _r(c, digits: int = 6):
     return F.round(c, digits)
 
 
-# Distances: 40 points against 40.
+# Distances: every point against the first K.
 
 
 def _pairs(column, value: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         points = _points(spark, sf_dir)
-        few = literal(first_k(points, 40))
-        return points.where("id < 40").select(F.col("id").alias("a"), F.posexplode(F.transform(few, lambda c: column(F.col("v"), c))).alias("b", "d_")).select("a", F.col("b").cast("bigint").alias("b"), (_r("d_") + 0.0).alias(value))  # no -0
+        few = literal(first_k(points, K))
+        each = points.select("id", F.posexplode(F.transform(few, lambda c: column(F.col("v"), c))).alias("c_", "d_"))
+        return each.select("id", F.col("c_").cast("bigint").alias("cid"), (_r("d_") + 0.0).alias(value))  # no -0
 
     return run
 
 
 _NORM = "coalesce(list_sum(list_transform({}, lambda x: x * x)), 0)"
 for _name, _column, _text in (
-    ("dist_l2_pairs", dist.l2, sql.d2("a.v", "b.v")),
-    ("dist_fast_pairs", dist.named("fast").column, sql.d2("a.v", "b.v")),
-    ("dist_short_pairs", dist.named("short").column, sql.d2("a.v", "b.v")),
-    ("dist_mips_pairs", dist.mips, f"-{sql.dot('a.v', 'b.v')}"),
-    ("dist_dot_pairs", dist.dot, sql.dot("a.v", "b.v")),
-    ("dist_l2_via_dot", lambda a, b: dist.l2_via_dot(a, b, dist.norm(b)), f"{_NORM.format('b.v')} - 2 * {sql.dot('a.v', 'b.v')}"),
-    ("dist_sqrt_pairs", dist.sqrt_l2, f"sqrt({sql.d2('a.v', 'b.v')})"),
+    ("dist_l2_pairs", dist.l2, sql.d2("a.v", "b.c")),
+    ("dist_fast_pairs", dist.named("fast").column, sql.d2("a.v", "b.c")),
+    ("dist_short_pairs", dist.named("short").column, sql.d2("a.v", "b.c")),
+    ("dist_mips_pairs", dist.mips, f"-{sql.dot('a.v', 'b.c')}"),
+    ("dist_dot_pairs", dist.dot, sql.dot("a.v", "b.c")),
+    ("dist_l2_via_dot", lambda a, b: dist.l2_via_dot(a, b, dist.norm(b)), f"{_NORM.format('b.c')} - 2 * {sql.dot('a.v', 'b.c')}"),
+    ("dist_sqrt_pairs", dist.sqrt_l2, f"sqrt({sql.d2('a.v', 'b.c')})"),
 ):
-    _SQL[_name] = sql.query([], f"SELECT a.id AS a, b.id AS b, round({_text}, 6) + 0.0 AS d FROM p a, p b WHERE a.id < 40 AND b.id < 40")
+    _SQL[_name] = sql.query([sql.first_k(K)], f"SELECT a.id, b.cid, round({_text}, 6) + 0.0 AS d FROM p a, c0 b")
     _QUERIES[_name] = _pairs(_column, "d")
 
 
