@@ -355,7 +355,7 @@ def _run(spark: SparkSession, sf_dir: str, runner: str, max_iter: int = ITERATIO
 
 for _name, _runner in (
     ("lloyd_5iter_assign", "NaiveKmeans"), ("naive_5iter_assign", "Naive"), ("lloyd2_5iter_assign", "NaiveKmeans2"), ("yinyang_simp_assign", "YinyangSimp"),
-    ("yinyang_assign", "YinyangImproved"), ("yinyang_local_assign", "YinyangFaithful"), ("ball_assign", "NiskKmeans"),
+    ("yinyang_assign", "YinyangImproved"), ("yinyang_local_assign", "YinyangFaithful"), ("ball_assign", "BallKmeans"),
 ):
     query(sql.query(_CHAIN, f"SELECT id, cid FROM a{ITERATIONS - 1}"), _name)(lambda spark, sf_dir, runner=_runner: _run(spark, sf_dir, runner).assignment)
 
@@ -400,7 +400,7 @@ def lloyd_after_msse_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.query(_CHAIN, _union(lambda i: f"SELECT {i} AS iteration, round(avg({sql.d2('a.v', 'c.c')}), 6) AS msse FROM a{i} a JOIN c{i + 1} c USING (cid)")))
 def ball_msse_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _log(_run(spark, sf_dir, "NiskKmeans"), "msse")
+    return _log(_run(spark, sf_dir, "BallKmeans"), "msse")
 
 
 def _movement(root: str) -> str:

@@ -23,7 +23,7 @@ POLICIES = {
     "YinyangSimp": Policy(StopRule("sum", sqrt=True)),
     "YinyangImproved": Policy(StopRule("max", sqrt=True)),
     "YinyangFaithful": Policy(StopRule("sum", strict=True)),
-    "NiskKmeans": Policy(StopRule("max"), msse_after=True),
+    "BallKmeans": Policy(StopRule("max"), msse_after=True),
     "Quantized": Policy(StopRule("max"), msse_after=True),
     "LSHQuantized": Policy(StopRule("sum", sqrt=True)),
     "PQ": Policy(StopRule("max"), msse_after=True),
@@ -43,7 +43,7 @@ RUNNERS: dict[str, Callable[..., Result]] = {
     "YinyangSimp": lambda p, c, s, pol, dist, iters, e, log, **o: yinyang(p, c, pol, dist, iters, e, log, **o),
     "YinyangImproved": lambda p, c, s, pol, dist, iters, e, log, **o: yinyang(p, c, pol, dist, iters, e, log, **o),
     "YinyangFaithful": lambda p, c, s, pol, dist, iters, e, log, **o: yinyang(p, c, pol, dist, iters, e, log, **({"t": min(4, len(c)), "local": True} | o)),
-    "NiskKmeans": lambda p, c, s, pol, dist, iters, e, log, **o: ball(p, c, pol, dist, iters, e, log, **o),
+    "BallKmeans": lambda p, c, s, pol, dist, iters, e, log, **o: ball(p, c, pol, dist, iters, e, log, **o),
     "Quantized": lambda p, c, s, pol, dist, iters, e, log, **o: quantized.cartesian(p, len(c), pol, iters, e, log, **o),
     "LSHQuantized": lambda p, c, s, pol, dist, iters, e, log, **o: quantized.lsh_code(p, c, pol, iters, e, log, **o),
     "PQ": lambda p, c, s, pol, dist, iters, e, log, **o: quantized.pq(p, c, pol, dist, iters, e, log, **o),

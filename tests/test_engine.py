@@ -10,7 +10,7 @@ from centra.plans.lloyd import StopRule
 from centra.plans.runlog import RunLog, parse_init, parse_run
 from centra.plans.runners import POLICIES, RUNNERS, cluster, fit, init_log, msse
 
-EXACT = ["Naive", "NaiveKmeans", "NaiveKmeans2", "YinyangSimp", "YinyangImproved", "YinyangFaithful", "NiskKmeans"]
+EXACT = ["Naive", "NaiveKmeans", "NaiveKmeans2", "YinyangSimp", "YinyangImproved", "YinyangFaithful", "BallKmeans"]
 
 
 def cids(assignment):
@@ -66,7 +66,7 @@ def test_neighbors_use_plain_distances(spark):
     c = np.array([[0.0], [10.0]])
     assert neighbors(center_distances(c), np.array([5.5, 0.0]))[0].tolist() == [1]
     points = frame(spark, [(0,), (10,), (5.5,), (10.5,)])
-    assert cids(cluster(points, c, "NiskKmeans", max_iter=1).assignment)[2] == 1
+    assert cids(cluster(points, c, "BallKmeans", max_iter=1).assignment)[2] == 1
 
 
 def test_exact_runners_agree_at_each_iteration(spark):
@@ -100,7 +100,7 @@ def test_pruning_spares_distances(spark):
     rng = np.random.default_rng(2)
     points = frame(spark, np.concatenate([rng.normal(8 * m, 1.0, (40, 4)) for m in range(10)]))
     start = init.kmeans_plus_plus(points, 10, seed=3)[0]
-    for runner in ("YinyangSimp", "NiskKmeans"):
+    for runner in ("YinyangSimp", "BallKmeans"):
         calls = [i.distance_calls for i in cluster(points, start, runner, max_iter=5).log.iterations]
         assert calls[-1] < calls[0] / 2, runner
 
