@@ -21,6 +21,8 @@ kept by `replace`, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ SECRET = r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]p
 DIGEST = r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])"
 NAME = rf"(?<![\p{{L}}\d])(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 PATTERN = "|".join([EMAIL, SECRET, ACCESS, DIGEST, PHONE, CARD, ADDRESS, NAME])
-#: What a text must hold to be searched at all.
-HINT = rf"[@=:+(]|[0-9]{{4}}|[0-9]\.[0-9]|AKIA|ASIA|gh[pousr]_|[0-9a-fA-F]{{32}}|{'|'.join(MALE + FEMALE)}"
+#: What a text must hold to be searched at all; the look-ahead spares most places the list of titles.
+HINT = rf"[@=:+(]|[0-9](?:[0-9]{{3}}|\.[0-9])|(?=[AgMHSDГΚ])(?:AKIA|ASIA|gh[pousr]_|{'|'.join(MALE + FEMALE)})|[0-9a-fA-F]{{32}}"
 
 #: Syllables of surrogate names, a consonant and a vowel each, and the endings of given names.
 SYLLABLES = {"latin": ("bdfgklmnprstvzhj", "aeiou", "n", "na"), "cyrillic": ("бвгдзклмнпрстфхж", "аеиоу", "н", "на"), "greek": ("βγδζθκλμνξπρστφχ", "αεηιο", "ς", "να")}
@@ -86,6 +88,11 @@ def entities(m: Column, of: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value computed once: an expression that it uses several times would otherwise be copied each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Surrogates:
     """Surrogate expressions under one key."""
 
@@ -120,49 +127,53 @@ class Surrogates:
         plain = F.regexp_replace(m, "[^0-9]", "")
         n = F.length(plain)
         drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < keep, F.substr(plain, i + 1, F.lit(1)).cast("int")).otherwise(F.pmod(self._number(stream, i), F.lit(10))))
-        if check:
-            def luhn(digits: Column) -> Column:
-                size = F.size(digits)
-                doubled = F.transform(digits, lambda d, i: F.when(F.pmod(size - i, F.lit(2)) == 0, F.pmod(2 * d, F.lit(10)) + F.floor(2 * d / 10).cast("int")).otherwise(d))
-                return F.pmod(F.aggregate(doubled, F.lit(0), lambda a, d: a + d), F.lit(10))
 
+        def luhn(digits: Column) -> Column:
+            doubled = F.transform(digits, lambda d, i: F.when(F.pmod(F.size(digits) - i, F.lit(2)) == 0, F.pmod(2 * d, F.lit(10)) + F.floor(2 * d / 10).cast("int")).otherwise(d))
+            return F.pmod(F.aggregate(doubled, F.lit(0), lambda a, d: a + d), F.lit(10))
+
+        def checked(digits: Column) -> Column:
             old = F.transform(F.split(plain, ""), lambda d: d.cast("int"))
-            rest = F.slice(drawn, F.lit(1), n - 1)
-            valid = F.concat(rest, F.array(F.pmod(10 - luhn(F.concat(rest, F.array(F.lit(0)))), F.lit(10))))
-            drawn = F.when(luhn(old) == 0, valid).otherwise(drawn)
-        place = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i), "[^0-9]", ""))
-        out = F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(F.substr(m, i, F.lit(1)).rlike("[0-9]"), F.get(drawn, place(i) - 1).cast("string")).otherwise(F.substr(m, i, F.lit(1))))
-        return F.array_join(out, "")
+            valid = let(F.slice(digits, F.lit(1), F.size(digits) - 1), lambda rest: F.concat(rest, F.array(F.pmod(10 - let(F.concat(rest, F.array(F.lit(0))), luhn), F.lit(10)))))
+            return F.when(let(old, luhn) == 0, valid).otherwise(digits)
+
+        def spelled(digits: Column) -> Column:
+            place = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i), "[^0-9]", ""))
+            out = F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(F.substr(m, i, F.lit(1)).rlike("[0-9]"), F.get(digits, place(i) - 1).cast("string")).otherwise(F.substr(m, i, F.lit(1))))
+            return F.array_join(out, "")
+
+        return let(let(drawn, checked) if check else drawn, spelled)
 
     def name(self, part: Column, attempt: Column, gender: Column) -> Column:
         """A name of the part's script and capitals; gender is 'm' or 'f' for a given name, '' for others."""
-        stream = self._stream(F.lit("name"), F.lower(part), attempt)
 
-        def spelled(script: str) -> Column:
+        def spelled(script: str, stream: Column) -> Column:
             consonants, vowels, male, female = SYLLABLES[script]
             pick = lambda letters, i: F.substr(F.lit(letters), F.pmod(self._number(stream, F.lit(i)), F.lit(len(letters))) + 1, F.lit(1))
             body = F.concat(*[pick(x, 2 * i + j) for i in range(3) for j, x in enumerate((consonants, vowels))])
             return F.concat(body, F.when(gender == "m", male).when(gender == "f", female).otherwise(""))
 
-        word = F.when(part.rlike(r"\p{IsCyrillic}"), spelled("cyrillic")).when(part.rlike(r"\p{IsGreek}"), spelled("greek")).otherwise(spelled("latin"))
-        return F.when((part == F.upper(part)) & (F.length(part) > 1), F.upper(word)).when(part == F.lower(part), word).otherwise(F.initcap(word))
+        word = lambda stream: F.when(part.rlike(r"\p{IsCyrillic}"), spelled("cyrillic", stream)).when(part.rlike(r"\p{IsGreek}"), spelled("greek", stream)).otherwise(spelled("latin", stream))
+        cased = lambda w: F.when((part == F.upper(part)) & (F.length(part) > 1), F.upper(w)).when(part == F.lower(part), w).otherwise(F.initcap(w))
+        return let(let(self._stream(F.lit("name"), F.lower(part), attempt), word), cased)
 
     def of(self, m: Column, of: Column, entity: Column, attempt: Column) -> Column:
         """The surrogate of a match that is no name."""
-        s = self._stream(of, entity, attempt)
-        value = _value(m)
-        secret = F.when(value.rlike("^[0-9a-fA-F]+$"), self._scramble(value, s, True)).otherwise(self._scramble(value, s))
-        octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(self._number(s, i), F.lit(254)) + 1).cast("string"))
-        found = (
-            F.when(of == "email", F.concat(self._scramble(F.regexp_extract(m, r"^(.*)(\.[A-Za-z]+)$", 1), s), F.regexp_extract(m, r"^(.*)(\.[A-Za-z]+)$", 2)))
-            .when(of == "phone", self._digits(m, s, F.when(m.startswith("+"), 1).otherwise(0), False))
-            .when(of == "card", self._digits(m, s, F.lit(1), True))
-            .when(of == "address", F.array_join(octets, "."))
-            .when(of == "access", F.concat(F.substr(m, F.lit(1), F.lit(4)), self._scramble(F.substr(m, F.lit(5), F.length(m)), s)))
-            .when(of == "digest", self._scramble(m, s, True))
-            .otherwise(F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), secret))
-        )
-        return F.when(attempt >= ROUNDS, self._tag(of, entity)).otherwise(found)
+
+        def found(s: Column) -> Column:
+            octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(self._number(s, i), F.lit(254)) + 1).cast("string"))
+            secret = let(_value(m), lambda v: F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(v)), F.when(v.rlike("^[0-9a-fA-F]+$"), self._scramble(v, s, True)).otherwise(self._scramble(v, s))))
+            return (
+                F.when(of == "email", let(F.substring_index(m, ".", -1), lambda end: F.concat(self._scramble(F.substr(m, F.lit(1), F.length(m) - F.length(end)), s), end)))
+                .when(of == "phone", self._digits(m, s, F.when(m.startswith("+"), 1).otherwise(0), False))
+                .when(of == "card", self._digits(m, s, F.lit(1), True))
+                .when(of == "address", F.array_join(octets, "."))
+                .when(of == "access", F.concat(F.substr(m, F.lit(1), F.lit(4)), self._scramble(F.substr(m, F.lit(5), F.length(m)), s)))
+                .when(of == "digest", self._scramble(m, s, True))
+                .otherwise(secret)
+            )
+
+        return F.when(attempt >= ROUNDS, self._tag(of, entity)).otherwise(let(self._stream(of, entity, attempt), found))
 
     def _tag(self, of: Column, entity: Column) -> Column:
         return F.concat(F.lit("["), F.upper(of), F.lit("-"), F.substr(self._stream(of, entity, F.lit(-1)), F.lit(1), F.lit(24)), F.lit("]"))
@@ -170,7 +181,7 @@ class Surrogates:
     def uniform(self, of: Column, entity: Column, attempt: Column) -> Column:
         """The surrogate of an entity in its uniform spelling, which tells whether two can be told apart."""
         alone = F.when(of == "secret", F.concat(F.lit("token="), entity)).otherwise(entity)
-        other = F.when(of == "secret", _value(self.of(alone, of, entity, attempt))).otherwise(self.of(entity, of, entity, attempt))
+        other = let(let(alone, lambda m: self.of(m, of, entity, attempt)), lambda got: F.when(of == "secret", _value(got)).otherwise(got))
         return F.when(of == "name", F.lower(self.name(entity, attempt, F.lit("")))).otherwise(other)
 
 
@@ -186,7 +197,7 @@ def exceptions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = docs.select(F.explode(_matches(text)).alias("m_")).select("m_", kind(m).alias("kind_"))
     table = cut(found.select("kind_", F.explode(entities(m, F.col("kind_"))).alias("entity_")).distinct().withColumn("attempt_", F.lit(0)))
     real = table.select(F.col("kind_").alias("k_"), F.col("entity_").alias("e_"))
-    for _ in range(ROUNDS):
+    for last in [False] * ROUNDS + [True]:
         named = table.withColumn("surrogate_", surrogates.uniform(F.col("kind_"), F.col("entity_"), F.col("attempt_")))
         # Of entities that share a surrogate the one with the fewest attempts left to lose, then the first, keeps it.
         shared = named.groupBy("kind_", "surrogate_").agg(F.count("*").alias("n_"), F.min(F.struct(-F.col("attempt_"), "entity_"))["entity_"].alias("first_")).where("n_ > 1")
@@ -196,7 +207,7 @@ def exceptions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         if bad.isEmpty():
             break
         again = table.join(bad, (F.col("kind_") == F.col("bk_")) & (F.col("entity_") == F.col("be_")), "left")
-        table = cut(again.select("kind_", "entity_", F.when(F.col("be_").isNull(), F.col("attempt_")).otherwise(F.col("attempt_") + 1).alias("attempt_")))
+        table = cut(again.select("kind_", "entity_", F.when(F.col("be_").isNull(), F.col("attempt_")).otherwise(F.lit(ROUNDS) if last else F.least(F.col("attempt_") + 1, F.lit(ROUNDS - 1))).alias("attempt_")))
     return table.where("attempt_ > 0")
 
 
@@ -223,13 +234,13 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text", row: str = "doc
     attempt = lambda of, entity: F.coalesce(F.try_element_at(F.col("attempts__"), call(of, entity)), F.lit(0))
 
     def one(m: Column) -> Column:
-        of = kind(m)
-        entity = F.get(entities(m, of), F.lit(0))
-        gender = F.when(_any(m, MALE), "m").otherwise("f")
-        parts = _names(m)
-        given = F.transform(parts, lambda p, i: surrogates.name(p, attempt(F.lit("name"), F.lower(p)), F.when(i < F.size(parts) - 1, gender).otherwise("")))
-        titled = F.concat_ws(" ", F.substring_index(m, " ", 1), F.array_join(given, " "))
-        return F.when(of == "name", titled).otherwise(surrogates.of(m, of, entity, attempt(of, entity)))
+        def titled(parts: Column) -> Column:
+            gender = F.when(_any(m, MALE), "m").otherwise("f")
+            given = F.transform(parts, lambda p, i: surrogates.name(p, attempt(F.lit("name"), F.lower(p)), F.when(i < F.size(parts) - 1, gender).otherwise("")))
+            return F.concat_ws(" ", F.substring_index(m, " ", 1), F.array_join(given, " "))
+
+        other = lambda of: let(F.get(entities(m, of), F.lit(0)), lambda e: let(attempt(of, e), lambda a: surrogates.of(m, of, e, a)))
+        return let(kind(m), lambda of: F.when(of == "name", let(_names(m), titled)).otherwise(other(of)))
 
     # Names with a title, for their later mentions without one; the family name is the last.
     known = F.array_distinct(F.flatten(F.transform(F.filter(F.col("m__"), lambda m: _any(m, MALE + FEMALE)), lambda m: _names(m))))
