@@ -6,8 +6,9 @@ table, and a byte of the normalised text can be mapped back to the text. A windo
 of an item; an item of fewer words, but not none, is one window. All windows go into one automaton, which
 reads each document once and reports every window that ends at a place, shorter ones inside longer ones too.
 
-The automaton's size is bounded: items are dealt over several automata of at most WINDOW_WORDS words in
-windows each, and a document is read by each in turn, in the same task.
+Sizes are bounded: items are dealt over several automata of at most WINDOW_WORDS words in windows each, which a task
+uses in turn. What is broadcast at once is checked: a benchmark of over BYTES is dealt, by a hash of the item, over
+several passes that each broadcast a part, and what a pass finds is written out before the next.
 
 Cases: a null text has no words, as an item or as a document; such a document is returned with zeros.
 Equal items each count. An empty benchmark gives zeros, an empty table of documents an empty result.
@@ -25,9 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from centra.llm.shared import cut
+
 WINDOW = 10
 #: Words in the windows of one automaton; about 100 bytes of memory each.
 WINDOW_WORDS = 1_500_000
+#: Bytes of items that are collected and broadcast at once.
+BYTES = 32 << 20
 NORMAL = bytes(c if c >= 0x80 or chr(c).isalnum() and not chr(c).isupper() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
 
@@ -99,38 +104,80 @@ def _matchers(shared) -> Matchers:
     return _MATCHERS[key]
 
 
-def _items(benchmark: DataFrame):
-    """The benchmark's items on the driver. A benchmark is a list of test questions that does not grow with the corpus."""
-    rows = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("bigint"), F.col("text")).where("text is not null and item_id is not null").collect()]
-    digest = hashlib.sha256(repr(sorted(rows)).encode()).hexdigest()
-    return benchmark.sparkSession.sparkContext.broadcast((digest, sorted(rows)))
+def _parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The items, in parts of about BYTES at most."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = max(1, -(-size // BYTES))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
+
+
+def _items(part: DataFrame):
+    """A part's items, broadcast."""
+    rows = sorted((r[0], r[1]) for r in part.collect())
+    return part.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(rows).encode()).hexdigest(), rows))
+
+
+def _digest(n: list[int], found: list[list[tuple[int, int, tuple[int, ...]]]]) -> list[pa.Array]:
+    hit, items, digests = [], [], []
+    for own in found:
+        covered, ids = set(), set()
+        for first, count, which in own:
+            covered.update(range(first, first + count))
+            ids.update(which)
+        hit.append(len(covered))
+        items.append(len(ids))
+        digests.append(hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest())
+    return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())]
+
+
+DIGEST = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+DIGEST_KINDS = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+FOUND = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("items", pa.list_(pa.int64()))]))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    shared = _items(benchmark)
+    parts = _parts(benchmark)
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    if len(parts) == 1:
+        shared = _items(parts[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = _matchers(shared)
+            for batch in batches:
+                got = [m.find(text) for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_digest([n for n, _ in got], [f for _, f in got])], DIGEST)
+
+        return chosen.mapInArrow(run, DIGEST_KINDS)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[(x["first"], x["words"], tuple(x["items"])) for x in own] for own in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_digest([len(words(t)) for t in batch.column(1).to_pylist()], found)], DIGEST)
+
+    return _all_parts(chosen, parts, "text", "found").mapInArrow(last, DIGEST_KINDS)
+
+
+def _all_parts(docs: DataFrame, parts: list[DataFrame], text: str, out: str) -> DataFrame:
+    """The documents, and in `out` the occurrences of the windows of all parts, one pass a part."""
+    frame = docs.withColumn(out, F.array().cast("array<struct<first:bigint,words:bigint,items:array<bigint>>>"))
+    for part in parts:
+        frame = cut(_one_part(frame, _items(part), text, out))
+    return frame
+
+
+def _one_part(frame: DataFrame, shared, text: str, out: str) -> DataFrame:
+    at, own = frame.columns.index(text), frame.columns.index(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matchers(shared)
         for batch in batches:
-            total, hit, items, digests = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                n, found = m.find(text)
-                covered, ids = set(), set()
-                for first, count, own in found:
-                    covered.update(range(first, first + count))
-                    ids.update(own)
-                total.append(n)
-                hit.append(len(covered))
-                items.append(len(ids))
-                digests.append(hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+            found = [[*before, *({"first": a, "words": n, "items": list(ids)} for a, n, ids in m.find(t)[1])] for t, before in zip(batch.column(at).to_pylist(), batch.column(own).to_pylist(), strict=True)]
+            columns = [pa.array(found, FOUND) if i == own else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return frame.mapInArrow(run, frame.schema)
 
 
 def _word_places(text: str) -> list[tuple[int, int]]:
@@ -149,34 +196,40 @@ def _keep(docs: DataFrame, drop: str = "") -> tuple[DataFrame, str]:
 
 def spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """The documents, and in `out` an array of (item_id, start, end): each occurrence of a window, in characters of the original text."""
-    shared = _items(benchmark)
     kept, kinds = _keep(docs, out)
-    at = kept.columns.index(text)
+    found_ = _all_parts(kept, _parts(benchmark), text, out)
+    at, own = found_.columns.index(text), found_.columns.index(out)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _matchers(shared)
         for batch in batches:
             column = []
-            for t in batch.column(at).to_pylist():
-                _, found = m.find(t)
+            for t, found in zip(batch.column(at).to_pylist(), batch.column(own).to_pylist(), strict=True):
                 places = _word_places(t) if found else []
-                column.append([{"item_id": i, "start": places[a][0], "end": places[a + n - 1][1]} for a, n, ids in sorted(found) for i in sorted(ids)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, kind)], [*batch.schema.names, out])
+                listed = sorted((x["first"], x["words"], i) for x in found for i in x["items"])
+                column.append([{"item_id": i, "start": places[a][0], "end": places[a + n - 1][1]} for a, n, i in listed])
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) if i == own else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return kept.mapInArrow(run, f"{kinds}, `{out}` array<struct<item_id:bigint,start:bigint,end:bigint>>")
+    return found_.mapInArrow(run, f"{kinds}, `{out}` array<struct<item_id:bigint,start:bigint,end:bigint>>")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents without those that hold a window of the benchmark."""
-    shared = _items(benchmark)
     kept, kinds = _keep(docs)
     at = kept.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _matchers(shared)
-        for batch in batches:
-            clean = [not m.find(t)[1] for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return kept.mapInArrow(run, kinds)
+    parts = _parts(benchmark)
+
+    def without(frame: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = _matchers(shared)
+            for batch in batches:
+                clean = [not m.find(t)[1] for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return frame.mapInArrow(run, kinds)
+
+    for i, part in enumerate(parts):
+        kept = without(kept, _items(part))
+        if i < len(parts) - 1:
+            kept = cut(kept)
+    return kept

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from centra.durable import cut
+
+__all__ = ["SPACE", "bucket_of", "cut", "sample_of", "table"]
+
 #: White space that separates words in most of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -16,20 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and read it back, which ends its lineage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is
-    unset, as in local tests, a temporary one is made.
-    """
-    session = frame.sparkSession
-    context = session.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return frame.checkpoint()
-
-
 def bucket_of(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo: the split that the contracts fix."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus

@@ -111,6 +111,9 @@ def test_decontamination(spark, monkeypatch):
     spans = by_id(decontaminate.spans(docs, bench).select("doc_id", "spans"))
     at = [(s.start, s.end) for s in spans[60][0] if s.item_id == 1]
     assert [texts[60][a:b] for a, b in at] == ["WHAT is-it, 7"]
+    monkeypatch.setattr(decontaminate, "BYTES", 100)  # several passes
+    assert len(decontaminate._parts(bench)) > 2 and by_id(decontaminate.hits(docs, bench)) == want
+    assert {r[0] for r in decontaminate.remove(docs, bench).select("doc_id").collect()} == {i for i, w in want.items() if not w[-1]}
     assert by_id(decontaminate.hits(docs, bench.limit(0)))[60][1] == 0 and decontaminate.hits(docs.limit(0), bench).count() == 0
 
 
