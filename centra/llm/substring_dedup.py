@@ -8,8 +8,8 @@ by content instead: of the GRAM-word sequences in a window, the one with the sma
 group, and equal windows agree on it. A maximal run of windows with one such hash is a segment.
 
 1. The deciding hashes of every document are counted. One that occurs once cannot belong to a repeated window.
-2. Documents are cut into segments whose hash occurs more often; equal segments are counted before they are
-   shuffled, and each different one goes, once, to the shard of its group. Where a hash occurs over HOT
+2. Documents are cut into segments whose hash occurs more often; equal segments of a batch are one before they are
+   shuffled, and each goes to the shard of its group only. Where a hash occurs over HOT
    times (a passage of a great many documents, with another text around it in each), its windows go
    by themselves, grouped by their first and last word too, so that no group grows with the passage's documents.
 3. A shard's segments, weighted by their counts, make one suffix automaton. Its segments are streamed through
@@ -128,7 +128,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(h[new]), ids.take(pa.array(owner[new] + begin)), pa.array(n, pa.int64())], ["h", "doc_id", "n"])
 
 
-def _segments(texts: list[str | None], hashes: list[list[int] | None], hot: list[list[bool] | None]) -> Iterator[tuple[int, int, int, bytes]]:
+def _segments(texts: list[str | None], hashes: list[list[int] | None], hot: list[list[int] | None]) -> Iterator[tuple[int, int, int, bytes]]:
     """(text, first word, group, words) of each segment whose hash is listed for its text."""
     for begin, end in _chunks(texts):
         w = Words(texts[begin:end])
@@ -139,8 +139,9 @@ def _segments(texts: list[str | None], hashes: list[list[int] | None], hot: list
         ends = np.append(cuts[1:], len(least))
         cuts, ends = cuts[whole[cuts]], ends[whole[cuts]]
         owner = w.owner[cuts]
-        listed = np.concatenate([np.zeros(0, "u8"), *(np.array(x or [], "i8").view("u8") ^ _mix(np.array([i + 1], "u8")) for i, x in enumerate(hashes[begin:end]))])
-        heat = np.concatenate([np.zeros(0, bool), *(np.array(x or [], bool) for x in hot[begin:end])])
+        own_lists = [(i, x) for i, (cool, warm) in enumerate(zip(hashes[begin:end], hot[begin:end], strict=True)) for x in (cool or [], warm or [])]
+        listed = np.concatenate([np.zeros(0, "u8"), *(np.array(x, "i8").view("u8") ^ _mix(np.array([i + 1], "u8")) for i, x in own_lists)])
+        heat = np.concatenate([np.zeros(0, bool), *(np.full(len(x), j % 2 == 1) for j, (_, x) in enumerate(own_lists))])
         order = np.argsort(listed)
         listed, heat = listed[order], heat[order]
         own = least[cuts] ^ _mix((owner + 1).astype("u8"))
@@ -266,6 +267,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, words, n) in the order of g to (s1, s2, ranges) of segments that hold a repeated window."""
     held: list[tuple[list[bytes], int, bytes]] = []
     size, group = 0, None
+    counts: dict[bytes, int] = {}
 
     def shard() -> pa.RecordBatch:
         automaton = SuffixAutomaton()
@@ -273,18 +275,21 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton.add(sequence, n)
         automaton.close()
         found = [(_name(words), ranges) for sequence, _, words in held if (ranges := automaton.repeated(sequence, WINDOW))]
+        held.clear()
         return pa.RecordBatch.from_arrays([pa.array([s[0] for s, _ in found], pa.int64()), pa.array([s[1] for s, _ in found], pa.int64()), pa.array([r for _, r in found], pa.list_(pa.int32()))], ["s1", "s2", "ranges"])
 
     for batch in batches:
         for g, words, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if g != group and size >= SHARD_WORDS:
-                yield shard()
-                held.clear()
-                size = 0
-            group = g
-            sequence = words.split()
-            held.append((sequence, n, words))
-            size += len(sequence)
+            if g != group:
+                for own, total in counts.items():
+                    held.append((own.split(), total, own))
+                    size += len(held[-1][0])
+                counts, group = {}, g
+                if size >= SHARD_WORDS:
+                    yield shard()
+                    size = 0
+            counts[words] = counts.get(words, 0) + n
+    held += [(own.split(), total, own) for own, total in counts.items()]
     if held:
         yield shard()
 
@@ -303,14 +308,29 @@ def _removed(texts: list[str | None], found: list[list[dict] | None]) -> Iterato
         yield n, spans
 
 
+def _named(chosen: DataFrame) -> DataFrame:
+    """Those with an id. Every join starts from this same frame, so that one exchange of the documents serves all."""
+    return chosen.where(F.col("doc_id").isNotNull())
+
+
+def _joined(chosen: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text, found, for all documents."""
+    own = _named(chosen).join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "found")
+    return own.unionAll(chosen.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast(own.schema["found"].dataType).alias("found")))
+
+
 def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, text), and by doc_id the ranges of windows (segments) that repeat."""
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = {"doc_id": "bigint", "text": "string"}
+    # A cast that changes nothing would still make the uses of the documents differ, and each be shuffled by itself.
+    chosen = docs.select(*[c if docs.schema[c].dataType.simpleString() == k else F.col(c).cast(k).alias(c) for c, k in kinds.items()])
     occurrences = chosen.mapInArrow(_occurrences, "h bigint, doc_id bigint, n bigint")
     often = cut(occurrences.groupBy(F.col("h").alias("of")).agg(F.sum("n").alias("total")).where("total > 1").select("of", (F.col("total") > HOT).alias("hot")))
-    listed = cut(occurrences.join(often, F.col("h") == F.col("of")).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("h", "hot")).alias("listed")))
-    candidates = chosen.join(listed, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("listed.h").alias("hashes"), F.col("listed.hot").alias("hot"))
-    segments = candidates.mapInArrow(_texts, "g bigint, words binary, n bigint").groupBy("g", "words").agg(F.sum("n").alias("n"))
+    # Two lists of plain numbers are half the size of one of pairs.
+    listed = occurrences.join(often, F.col("h") == F.col("of")).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    candidates = _named(chosen).join(cut(listed), F.col("doc_id") == F.col("id")).select("doc_id", "text", "hashes", "hot")
+    # Equal segments of a batch are one row already; those of different batches meet in their shard, as they are streamed.
+    segments = candidates.mapInArrow(_texts, "g bigint, words binary, n bigint")
     repeats = segments.repartition("g").sortWithinPartitions("g").mapInArrow(_repeats, "s1 bigint, s2 bigint, ranges array<int>")
     places = candidates.mapInArrow(_places, "p1 bigint, p2 bigint, id bigint, start int")
     at = places.join(repeats, (F.col("p1") == F.col("s1")) & (F.col("p2") == F.col("s2")))
@@ -327,7 +347,7 @@ def spans(docs: DataFrame) -> DataFrame:
             got = list(_removed(b.column(1).to_pylist(), b.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for _, s in got], kind)], ["doc_id", "n_words", "spans"])
 
-    joined = chosen.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "found")
+    joined = _joined(chosen, found)
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>")
 
 
@@ -348,7 +368,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(split).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    joined = chosen.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "found")
+    joined = _joined(chosen, found)
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, text string")
 
 
