@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ ROWS, FRONTIER, DIRECT, COMPARED = 250_000, 500_000, 32, 2_000_000
 #: Of the dedup by similarity: bits that may differ of 64 * COLUMNS, and the groups that are searched.
 SIMILARITY, COLUMNS, BANDS, BAND_ROWS, WIDE_DIRECT = 0.8, 4, 16, 5, 4096
 
+#: Of its exact links: texts of a key that propose all their pairs, mixings of the hashes, the factor of keys, and the classes of sizes.
+FEW, TRIES, MIXED = 8, 4, np.uint64(0x9E3779B97F4A7C15)
+_SCHEMES: dict[tuple[int, int], dict[int, tuple]] = {}
+
 
 def words(text: str | None) -> list[bytes]:
     """Runs of other than space and U+0009 to U+000D, after A-Z are lower-cased; both are decided byte by byte."""
@@ -230,11 +235,11 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
-def _sketch(split: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint's columns, and one key a band: a hash of BAND_ROWS least values under as many permutations of the shingles' hashes."""
+def _sketch(split: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fingerprint's columns, the number of different shingles with their parities in 64 * COLUMNS buckets, and one key a band: a hash of BAND_ROWS least values under as many permutations of the shingles' hashes."""
     hashes = shingle_hashes(split, shingle)
     if not len(hashes):
-        return np.zeros(COLUMNS, "u8"), np.zeros(BANDS, "u8")
+        return np.zeros(COLUMNS, "u8"), np.zeros(1 + COLUMNS, "u8"), np.zeros(BANDS, "u8")
     columns = []
     for salt in _odd(COLUMNS, 1):
         h = hashes * salt
@@ -245,47 +250,222 @@ def _sketch(split: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
         mixed = h[i : i + 4096, None] * salts
         least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(0))
     keys = (least.reshape(BANDS, BAND_ROWS) * _odd(BAND_ROWS, 3)).sum(1, dtype="u8")
-    return np.array(columns, "u8"), keys
+    odd = np.bincount((h % np.uint64(64 * COLUMNS)).astype("i8"), minlength=64 * COLUMNS) & 1
+    return np.array(columns, "u8"), np.concatenate([np.array([len(h)], "u8"), np.packbits(odd.astype("u1"), bitorder="little").view("u8")]), keys
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, two halves of a 128-bit name of the words, the fingerprint's columns, and the bands' keys."""
+    """doc_id, two halves of a 128-bit name of the words, the fingerprint's columns, size and parities of the set of shingles, and the bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, prints, keys = np.zeros((b.num_rows, 2), "u8"), np.zeros((b.num_rows, COLUMNS), "u8"), np.zeros((b.num_rows, BANDS), "u8")
+            names, prints, marks, keys = (np.zeros((b.num_rows, n), "u8") for n in (2, COLUMNS, 1 + COLUMNS, BANDS))
             for i, t in enumerate(b.column(1).to_pylist()):
                 split = words(t)
                 name = xxhash.xxh3_128_intdigest(b" ".join(split))
                 names[i] = name >> 64, name & 0xFFFFFFFFFFFFFFFF
-                prints[i], keys[i] = _sketch(split, shingle)
-            numbers = [*names.T, *prints.T]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view("i8"), pa.int64()) for c in numbers), pa.array(list(keys.view("i8")), pa.list_(pa.int64()))], ["doc_id", "t0", "t1", *(f"f{i}" for i in range(COLUMNS)), "keys"])
+                prints[i], marks[i], keys[i] = _sketch(split, shingle)
+            numbers = [*names.T, *prints.T, *marks.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view("i8"), pa.int64()) for c in numbers), pa.array(list(keys.view("i8")), pa.list_(pa.int64()))], ["doc_id", "t0", "t1", *(f"f{i}" for i in range(COLUMNS)), "size", *(f"odd{i}" for i in range(COLUMNS)), "keys"])
 
-    kinds = ", ".join(f"f{i} bigint" for i in range(COLUMNS))
+    kinds = ", ".join([*(f"f{i} bigint" for i in range(COLUMNS)), "size bigint", *(f"odd{i} bigint" for i in range(COLUMNS))])
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, t0 bigint, t1 bigint, {kinds}, keys array<bigint>")
 
 
+def _scheme(c: int, up: int, down: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Class c of sizes: its least size, the shingles that two linked sets up to its sizes may not share, and its buckets' ends and numbers."""
+    if c not in _SCHEMES.setdefault((up, down), {}):
+        before = _scheme(c - 1, up, down)[0] if c else 0
+        low = max(before + 1, before * 5 // 4)
+        top = max(low + 1, low * 5 // 4) - 1
+        differ = 2 * top * down // up
+        m = 1 + differ + differ // 8
+        ends = np.array([(i << 64) // m for i in range(1, m)], "u8")
+        _SCHEMES[up, down][c] = low, differ, ends, (np.arange(m, dtype="u8") + np.uint64(c << 34)) * _odd(1, 5)
+    return _SCHEMES[up, down][c]
+
+
+def _keys(hashes: np.ndarray, share: Fraction) -> np.ndarray:
+    """Keys of a set of hashes, in order: two sets of which `share` is common have one key in common, always.
+
+    Sets of sizes a and b differ in at most (a + b) * (1 - share) / (1 + share) hashes. The hashes are dealt into
+    more buckets than that, so one bucket at least is equal in both; a key is a bucket's number and the sum of its hashes.
+    Buckets are those of the larger set's class of sizes, so a set has keys for each class that a larger one can be
+    in. Empty buckets give no key. If those with hashes are too few for that, the set has also keys with the hashes
+    mixed anew, and after TRIES of that for its empty buckets.
+    """
+    up, down = int((1 + share) * share.denominator), int((1 - share) * share.denominator)
+    n, out, c = len(hashes), [], 0
+    while n and share.numerator * _scheme(c, up, down)[0] <= share.denominator * n:
+        if _scheme(c + 1, up, down)[0] > n:
+            _, differ, ends, numbers = _scheme(c, up, down)
+            for i in range(TRIES):
+                h = np.sort(hashes * _odd(TRIES, 6)[i]) if i else hashes
+                cuts = np.concatenate([[0], np.searchsorted(h, ends), [n]])
+                sums = np.diff(np.concatenate([np.zeros(1, "u8"), np.cumsum(h, dtype="u8")])[cuts])
+                full = np.diff(cuts) > 0
+                enough = full.sum() > differ
+                got = sums * MIXED + numbers + np.uint64(i)
+                out.append(got[full] if enough or i < TRIES - 1 else got)
+                if enough:
+                    break
+        c += 1
+    return np.concatenate(out) if out else hashes
+
+
+def _flat(ids: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.repeat(np.array(ids, "i8"), [len(a) for a in arrays])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays).view("i8"), pa.int64()), pa.array(rows, pa.int64())], ["key", "node"])
+
+
+def keyed(texts: DataFrame, shingle: int, share: Fraction) -> DataFrame:
+    """key, node: the keys of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, arrays, size = [], [], 0
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                arrays.append(_keys(np.unique(shingle_hashes(words(t), shingle)), share))
+                size += len(arrays[-1])
+                if size >= ROWS:
+                    yield _flat(ids, arrays)
+                    ids, arrays, size = [], [], 0
+            if ids:
+                yield _flat(ids, arrays)
+
+    return texts.mapInArrow(run, "key bigint, node bigint")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, the hashes of its different shingles, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [np.unique(shingle_hashes(words(t), shingle)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.view("i8") for h in sets], pa.list_(pa.int64()))], ["node", "hashes"])
+
+    return texts.mapInArrow(run, "node bigint, hashes array<bigint>")
+
+
+def _by_group(rows: DataFrame, kinds: str, names: list[str], search) -> DataFrame:
+    """Rows that begin with a key, a key's rows together, to what `search` makes of the key and its other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            table = np.column_stack([c.to_numpy() for c in b.columns])
+            held = table if held is None else np.concatenate([held, table])
+            if len(held) < ROWS or held[0, 0] == held[-1, 0]:
+                continue
+            last = int(np.searchsorted(held[:, 0], held[-1, 0]))
+            ready, held = held[:last], held[last:]
+            yield from groups(ready)
+        if held is not None:
+            yield from groups(held)
+
+    def groups(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.flatnonzero(np.concatenate([[True], table[1:, 0] != table[:-1, 0], [True]]))
+        many = np.flatnonzero(np.diff(edges) > 1)
+        out, size = [], 0
+        for lo, hi in zip(edges[many].tolist(), edges[many + 1].tolist(), strict=True):
+            for got in search(table[lo:hi]):
+                out.append(got)
+                size += len(got)
+                if size >= ROWS:
+                    yield batch(np.concatenate(out))
+                    out, size = [], 0
+        if size:
+            yield batch(np.concatenate(out))
+
+    def batch(got: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in got.T], names)
+
+    return rows.mapInArrow(run, kinds)
+
+
+def _proposed(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """key, u, v: the pairs (key 0) of a small group, the nodes of a large one with its key (u equal to v)."""
+    nodes = np.unique(rows[:, 1])
+    n = len(nodes)
+    i, j = np.triu_indices(n, 1) if n <= FEW else (np.arange(n), np.arange(n))
+    yield np.column_stack([np.full(len(i), 0 if n <= FEW else rows[0, 0]), nodes[i], nodes[j]])
+
+
+def _apart(rows: np.ndarray, up: int, down: int) -> Iterator[np.ndarray]:
+    """u, v of a group (key, node, label, size, parities) whose labels differ, but for those whose parities or sizes alone differ too much.
+
+    Each shingle that only one text has flips one parity, so no more parities differ than shingles.
+    """
+    if (rows[:, 2] == rows[0, 2]).all():
+        return
+    node, label, size, odd = rows[:, 1], rows[:, 2], rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view("u8")
+    step = max(1, COMPARED // len(rows))
+    for a in range(0, len(rows), step):
+        b = slice(a, a + step)
+        differ = np.maximum(np.bitwise_count(odd[b, None] ^ odd[None]).sum(2, dtype="i8"), np.abs(size[b, None] - size[None]))
+        i, j = np.nonzero((label[b, None] != label[None]) & (node[b, None] < node[None]) & (differ * up <= (size[b, None] + size[None]) * down))
+        yield np.column_stack([node[b][i], node[j]])
+
+
+def _verified(edges: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """Of the edges (u, v) those whose texts have the share of their different shingles in common."""
+    left, right = (sets.select(F.col("node").alias(f"{x}_"), F.col("hashes").alias(f"h{x}_")) for x in "uv")
+    both = edges.join(left, F.col("u") == F.col("u_")).join(right, F.col("v") == F.col("v_"))
+    both = both.select("u", "v", (F.size("hu_") + F.size("hv_")).cast("bigint").alias("sum_"), F.size(F.array_intersect("hu_", "hv_")).cast("bigint").alias("common_"))
+    return both.where(F.col("common_") * share.denominator >= (F.col("sum_") - F.col("common_")) * share.numerator).select("u", "v").distinct()
+
+
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with one of each group of near duplicates: that with the smallest id.
 
-    Similarity is the share of equal bits of fingerprints of 64 * COLUMNS bits over shingles of five words. A fifth
-    of the bits is too large a budget to cut into equal blocks, so the groups that are searched by trie are made of
-    texts that share a band of least hashes; two texts that share 0.8 of their shingles have one of the bands in
-    common but for one pair in 500. Equal texts are one node before that. Rows that repeat an id stay
-    together, and so do rows without an id.
+    Two texts are linked if they are similar by one of two measures. By fingerprints, similarity is the share of equal
+    bits of 64 * COLUMNS over shingles of five words. A fifth of the bits is too large a budget to cut into equal
+    blocks, so the groups that are searched by trie are made of texts that share a band of least hashes; pairs can be
+    missed. By shingles, it is the Jaccard similarity of the sets of 64-bit hashes. That one misses no pair: candidates
+    have one of `_keys` in common, those that fingerprints did not put into one component are compared exactly.
+    A pair is left out before that if the sizes or 256 parities of the two sets differ in more than the similarity allows.
+    A key of up to FEW texts proposes its pairs at once; those of larger ones are only written after that.
+
+    Equal texts are one node before that. Rows that repeat an id stay together, and so do rows without an id.
     """
+    share = Fraction(str(similarity))
     got = cut(sketches(docs, shingle))
     first = cut(got.groupBy("t0", "t1").agg(F.min("doc_id").alias("node")).select("node"))
     nodes = got.join(first, F.col("doc_id") == F.col("node"), "left_semi")
     prints = [f"f{i}" for i in range(COLUMNS)]
     dealt = nodes.select("doc_id", *prints, F.posexplode("keys").alias("band", "key")).repartition("band", "key").sortWithinPartitions("band", "key")
     budget = round((1 - similarity) * 64 * COLUMNS)
-    joined = graph.components(_grouped(dealt.select(F.col("band").cast("bigint"), "key", F.col("doc_id").alias("node"), *prints), COLUMNS, budget, WIDE_DIRECT))
+    near = cut(_grouped(dealt.select(F.col("band").cast("bigint"), "key", F.col("doc_id").alias("node"), *prints), COLUMNS, budget, WIDE_DIRECT).distinct())
+    more = _exact(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), first, got, graph.components(near), shingle, share)
+    joined = graph.components(near.unionAll(more))
     kept = first.join(joined.select(F.col("node").alias("other")), F.col("node") == F.col("other"), "left_anti")
     return docs.join(kept, docs["doc_id"].cast("bigint") == kept["node"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
+def _exact(texts: DataFrame, first: DataFrame, got: DataFrame, joined: DataFrame, shingle: int, share: Fraction) -> DataFrame:
+    """Edges (u, v) between texts of the nodes in `first` that have the share of their shingles in common, but for those within a component of `joined`."""
+    dealt = keyed(texts.join(first, F.col("doc_id") == F.col("node"), "left_semi"), shingle, share).repartition("key").sortWithinPartitions("key")
+    found = cut(_by_group(dealt, "key bigint, u bigint, v bigint", ["key", "u", "v"], _proposed).distinct())
+    odd = [f"odd{i}" for i in range(COLUMNS)]
+    # An id that is repeated has several sketches and is compared by each.
+    own = got.join(first, F.col("doc_id") == F.col("node"), "left_semi").join(joined.withColumnRenamed("node", "of"), F.col("doc_id") == F.col("of"), "left")
+    marks = cut(own.select(F.col("doc_id").alias("member"), F.coalesce("root", "doc_id").alias("label"), "size", *odd))
+    up, down = int((1 + share) * share.denominator), int((1 - share) * share.denominator)
+    left, right = (marks.select(*(F.col(c).alias(f"{c}_{x}") for c in marks.columns)) for x in "uv")
+    pairs = found.where("u < v").join(left, F.col("u") == F.col("member_u")).join(right, F.col("v") == F.col("member_v"))
+    differ = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in odd), F.lit(0).cast("bigint"))
+    differ = F.greatest(differ, F.abs(F.col("size_u") - F.col("size_v")))
+    pairs = pairs.where((F.col("label_u") != F.col("label_v")) & (differ * up <= (F.col("size_u") + F.col("size_v")) * down)).select("u", "v")
+    marked = found.where("u = v").select("key", F.col("u").alias("in_")).join(marks, F.col("in_") == F.col("member")).select("key", *marks.columns).repartition("key").sortWithinPartitions("key")
+    apart = _by_group(marked, "u bigint, v bigint", ["u", "v"], lambda rows: _apart(rows, up, down))
+    edges = cut(pairs.unionAll(apart).distinct())
+    ends = edges.select(F.col("u").alias("end")).unionAll(edges.select("v")).distinct()
+    return cut(_verified(edges, cut(_sets(texts.join(ends, F.col("doc_id") == F.col("end"), "left_semi"), shingle)), share))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
     return components_of(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -392,6 +392,47 @@ def test_dedup_by_similarity(spark):
     assert simhash.dedup(docs).columns == docs.columns and simhash.dedup(docs.limit(0)).count() == 0
 
 
+def near_texts(rng, pairs, least, most):
+    """Pairs of texts, a word of the second replaced at some places, so that shares of common shingles lie between the bounds."""
+    texts = []
+    while len(texts) < 2 * pairs:
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(20, 300))]
+        own = list(base)
+        for _ in range(rng.randint(1, len(own) // 15)):
+            own[rng.randrange(len(own))] = f"x{rng.randint(0, 10**6)}"
+        if least <= similarity_of(" ".join(base), " ".join(own)) <= most:
+            texts += [" ".join(base), " ".join(own)]
+    return texts
+
+
+def similarity_of(a, b):
+    p, q = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(p & q) / len(p | q)
+
+
+@pytest.mark.parametrize("few", [1, 8])
+def test_dedup_loses_no_pair_at_the_similarity(spark, monkeypatch, few):
+    texts = near_texts(random.Random(5), 500, 0.8, 0.815)
+    varied = " ".join(f"v{i}" for i in range(300))
+    texts += [varied, varied + " one two three four five six" * 400]
+    assert similarity_of(*texts[-2:]) > 0.9
+    monkeypatch.setattr(simhash, "FEW", few)
+    assert {r.doc_id for r in simhash.dedup(documents(spark, texts)).collect()} == set(range(0, len(texts), 2))
+
+
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(7)
+    share = simhash.Fraction("0.8")
+    for n in [*range(1, 120), *range(120, 3000, 97)]:
+        for _ in range(20):
+            common = rng.integers(0, 1 << 63, n, dtype="u8") * np.uint64(2)
+            extra = rng.integers(0, 1 << 63, n // 4, dtype="u8") * np.uint64(2) + np.uint64(1)
+            at = rng.integers(0, len(extra) + 1)
+            a, b = (np.unique(np.concatenate([common, x])) for x in (extra[:at], extra[at:]))
+            assert len(np.intersect1d(simhash._keys(a, share), simhash._keys(b, share)))
+            assert len(simhash._keys(a, share)) <= 4 * len(a) + 8
+
+
 # 9
 
 
