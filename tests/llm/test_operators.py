@@ -310,6 +310,13 @@ def test_pii_collisions(spark, monkeypatch):
     assert sum("[ADDRESS-" in t for t in texts) >= 400 - 254
 
 
+def test_every_title_alone_is_found(spark):
+    titles = pii.MALE + pii.FEMALE
+    got = by_id(pii.report(documents(spark, [f"There {t} Anna Schmidt went" for t in titles])))
+    assert [got[i][0] for i in range(len(titles))] == [1] * len(titles)
+    assert not any("Schmidt" in got[i][1] or "Anna" in got[i][1] for i in got) and len({got[i][1].split()[3] for i in got}) == 1
+
+
 # 8
 
 
