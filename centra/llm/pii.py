@@ -5,7 +5,8 @@ the same surrogate in every document and every spelling of it (coreference), and
 type and the format: digits stay digits, letters letters of the same case, separators and prefixes stay, a
 valid card number stays valid, hexadecimal stays hexadecimal. Names after a title keep their script, and
 given names their gender by the title; later mentions of such a name in the document without its title are
-replaced alike.
+replaced alike. A name goes on through all capitalised words after the title, up to another title; its initials become
+letters that stand for nothing. A secret goes on to the first character that no token has.
 
 Distinct entities must stay distinct. Surrogates are computed for the table of different entities, those that
 meet another's surrogate or a real entity are given a next attempt, and so on until none does. Since
@@ -39,9 +40,13 @@ PHONE = r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,
 CARD = r"(?<![\p{L}\d.-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\d])"
 ADDRESS = r"(?<![\p{L}\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\d]|\.\d)"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,128}"
+SECRET = r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN) ?[=:] ?[\"']?(?=[A-Za-z0-9+/_~-])[A-Za-z0-9+/_.=~-]{8,}(?<!\.)"
 DIGEST = r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])"
-NAME = rf"(?<![\p{{L}}\d])(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+#: A part of a name, with hyphens and apostrophes but without what English adds after one. Groups are possessive, as others are matched by recursion.
+PART = r"\p{Lu}(?:\p{L}+|(?=['’-]\p{L}))(?:-\p{L}+|['’](?!(?:ll|re|ve)(?!\p{L}))\p{L}{2,})*+"
+TITLE = rf"(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? "
+INITIAL = r"\p{Lu}\.?"
+NAME = rf"(?<![\p{{L}}\d]){TITLE}(?:{INITIAL} (?=\p{{Lu}}))*+{PART}(?: (?!{TITLE}\p{{Lu}})(?:{PART}|{INITIAL}(?= \p{{Lu}})))*+"
 PATTERN = "|".join([EMAIL, SECRET, ACCESS, DIGEST, PHONE, CARD, ADDRESS, NAME])
 #: What a text must hold to be searched at all; the look-ahead spares most places the list of titles.
 HINT = rf"[@=:+(]|[0-9](?:[0-9]{{3}}|\.[0-9])|(?=[Ag{''.join(sorted({t[0] for t in MALE + FEMALE}))}])(?:AKIA|ASIA|gh[pousr]_|{'|'.join(MALE + FEMALE)})|[0-9a-fA-F]{{32}}"
@@ -74,13 +79,18 @@ def _value(m: Column) -> Column:
 
 def _names(m: Column) -> Column:
     """The names after the title."""
-    return F.slice(F.split(m, " "), 2, 8)
+    return F.slice(F.split(m, " "), F.lit(2), F.length(m))
+
+
+def _whole(parts: Column) -> Column:
+    """Without initials, which are no entities."""
+    return F.filter(parts, lambda p: ~p.rlike(rf"^{INITIAL}$"))
 
 
 def entities(m: Column, of: Column) -> Column:
     """What a match stands for: its spelling made uniform; a name is one entity for each of its parts."""
     return (
-        F.when(of == "name", F.transform(_names(m), lambda p: F.lower(p)))
+        F.when(of == "name", F.transform(_whole(_names(m)), lambda p: F.lower(p)))
         .when(of == "email", F.array(F.lower(m)))
         .when(of.isin("phone", "card"), F.array(F.regexp_replace(m, "[^0-9]", "")))
         .when(of == "secret", F.array(_value(m)))
@@ -236,14 +246,15 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text", row: str = "doc
     def one(m: Column) -> Column:
         def titled(parts: Column) -> Column:
             gender = F.when(_any(m, MALE), "m").otherwise("f")
-            given = F.transform(parts, lambda p, i: surrogates.name(p, attempt(F.lit("name"), F.lower(p)), F.when(i < F.size(parts) - 1, gender).otherwise("")))
+            spelled = lambda p, i: surrogates.name(p, attempt(F.lit("name"), F.lower(p)), F.when(i < F.size(parts) - 1, gender).otherwise(""))
+            given = F.transform(parts, lambda p, i: let(spelled(p, i), lambda s: F.when(p.rlike(rf"^{INITIAL}$"), F.concat(F.upper(F.substr(s, F.lit(1), F.lit(1))), F.substr(p, F.lit(2), F.length(p)))).otherwise(s)))
             return F.concat_ws(" ", F.substring_index(m, " ", 1), F.array_join(given, " "))
 
         other = lambda of: let(F.get(entities(m, of), F.lit(0)), lambda e: let(attempt(of, e), lambda a: surrogates.of(m, of, e, a)))
         return let(kind(m), lambda of: F.when(of == "name", let(_names(m), titled)).otherwise(other(of)))
 
     # Names with a title, for their later mentions without one; the family name is the last.
-    known = F.array_distinct(F.flatten(F.transform(F.filter(F.col("m__"), lambda m: _any(m, MALE + FEMALE)), lambda m: _names(m))))
+    known = F.array_distinct(F.flatten(F.transform(F.filter(F.col("m__"), lambda m: _any(m, MALE + FEMALE)), lambda m: _whole(_names(m)))))
     base = base.select("*", known.alias("known__"))
     mention = lambda piece: F.aggregate(
         F.col("known__"), piece, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\d])"), p, F.lit(r"(?![\p{L}\d])")), surrogates.name(p, attempt(F.lit("name"), F.lower(p)), F.lit("")))

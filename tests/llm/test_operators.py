@@ -317,6 +317,19 @@ def test_every_title_alone_is_found(spark):
     assert not any("Schmidt" in got[i][1] or "Anna" in got[i][1] for i in got) and len({got[i][1].split()[3] for i in got}) == 1
 
 
+def test_entities_are_replaced_to_their_end(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefghijkmnopqrstuvwxyz0123456789") for _ in range(128))
+    texts = [f"token={long}{'q1' * 36} end", f"token={long}{'z2' * 36} end", "secret: eyJhbGciOiJ9.eyJzdWIiOiIx.SflKxw~RJSM=. Then"]
+    texts += ["Mr John Ronald Tolkien sat", "Mr Jean-Luc Picard sat", "Mr Sean O'Neil sat", "Mrs Anna B. Maria de", "Herr Otto Frau Eva Braun", "Mr Smith's dog, and Smith ran", "Sir " + "Name " * 20000]
+    got = by_id(pii.report(documents(spark, texts)))
+    for i, parts in enumerate(["q1q1 " + long, "z2z2", "eyJ Sflk RJSM sdWI", "John Ronald Tolkien", "Jean Luc Picard", "Sean O'Neil Neil", "Anna Maria", "Otto Eva Braun", "Smith", "Name"]):
+        assert not any(p in got[i][1] for p in parts.split()), got[i][1][:300]
+    assert got[0][1] != got[1][1] and all(len(got[i][1]) == len(texts[i]) and got[i][1].endswith(" end") for i in (0, 1))
+    assert got[2][1].startswith("secret: ") and got[2][1].endswith("=. Then") and got[2][1].count(".") == 3
+    assert got[7][0] == 2 and "Frau" in got[7][1] and got[8][1].split()[1] == got[8][1].split()[4] + "'s" and len(got[9][1].split()) == 20001
+
+
 # 8
 
 
