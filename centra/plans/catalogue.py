@@ -179,7 +179,7 @@ def lsh_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN ({', '.join(map(str, init.stratified(500, 25, 3)))})")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return frame.where(F.col("vec_id").isin(init.stratified(500, 25, 3))).select(F.col("vec_id").alias("id"), "label")
+    return frame.where(F.col("vec_id").isin(init.stratified(frame.count(), 25, 3))).select(F.col("vec_id").alias("id"), "label")
 
 
 # Assignment.

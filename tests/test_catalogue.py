@@ -28,3 +28,9 @@ def test_query_equals_its_sql(spark, con, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert rounded(got.select(columns).collect()) == rounded(want.select(*columns).fetchall())
+
+
+def test_stratified_sample_draws_from_all_points(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS vec_id", "id % 7 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(r.id for r in catalogue.stratified_sample(spark, str(tmp_path)).collect())
+    assert [i // 80 for i in got] == list(range(25))
