@@ -11,6 +11,10 @@ gathered into one array a host, which is broadcast if all hosts together have at
 (8 bytes each) and joined on the host otherwise. Two lines of one host with the same hash would be
 taken for one; at a billion lines a host that is expected less than once in ten million hosts.
 
+All occurrences of such a line go, none is kept. On a host of up to MIN_PAGES / RATIO (37) pages any line on three pages
+goes. Copies are pages like others: where one group of copies is over RATIO of its host's pages, all its
+lines go from all of them, so that only blank lines of that text are left in the host.
+
 Cases: a null text stays null and has no lines, but its page counts for the host. An empty text has one
 blank line. Pages without a host (null) form one group. A line repeated in a page counts once for the
 page and is dropped each time. Repeated rows count each. An empty table gives an empty result. Other
