@@ -11,7 +11,8 @@ uses in turn. What is broadcast at once is checked: a benchmark of over BYTES is
 several passes that each broadcast a part, and what a pass finds is written out before the next.
 
 Cases: a null text has no words, as an item or as a document; such a document is returned with zeros.
-Equal items each count. An empty benchmark gives zeros, an empty table of documents an empty result.
+Equal items each count. Items
+without an id count for n_hit, contaminated, removal and spans, but not for n_items and items_sha256: they have no id to list. An empty benchmark gives zeros, an empty table of documents an empty result.
 Other columns are ignored by `hits`; `spans` and `remove` keep those of the documents.
 """
 
@@ -106,7 +107,7 @@ def _matchers(shared) -> Matchers:
 
 def _parts(benchmark: DataFrame) -> list[DataFrame]:
     """The items, in parts of about BYTES at most."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // BYTES))
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
@@ -114,7 +115,7 @@ def _parts(benchmark: DataFrame) -> list[DataFrame]:
 
 def _items(part: DataFrame):
     """A part's items, broadcast."""
-    rows = sorted((r[0], r[1]) for r in part.collect())
+    rows = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     return part.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(rows).encode()).hexdigest(), rows))
 
 
@@ -124,7 +125,7 @@ def _digest(n: list[int], found: list[list[tuple[int, int, tuple[int, ...]]]]) -
         covered, ids = set(), set()
         for first, count, which in own:
             covered.update(range(first, first + count))
-            ids.update(which)
+            ids.update(i for i in which if i is not None)
         hit.append(len(covered))
         items.append(len(ids))
         digests.append(hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest())
@@ -206,7 +207,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str =
             column = []
             for t, found in zip(batch.column(at).to_pylist(), batch.column(own).to_pylist(), strict=True):
                 places = _word_places(t) if found else []
-                listed = sorted((x["first"], x["words"], i) for x in found for i in x["items"])
+                listed = sorted(((x["first"], x["words"], i) for x in found for i in x["items"]), key=lambda m: (*m[:2], m[2] is not None, m[2] or 0))
                 column.append([{"item_id": i, "start": places[a][0], "end": places[a + n - 1][1]} for a, n, i in listed])
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) if i == own else c for i, c in enumerate(batch.columns)], batch.schema.names)
 

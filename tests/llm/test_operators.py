@@ -117,6 +117,17 @@ def test_decontamination(spark, monkeypatch):
     assert by_id(decontaminate.hits(docs, bench.limit(0)))[60][1] == 0 and decontaminate.hits(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_count(spark, monkeypatch):
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four five"), (3, "one two three")], "item_id bigint, text string")
+    docs = documents(spark, ["say One, two three", "four five!", "none of it"])
+    none, three = (hashlib.sha256(x).hexdigest() for x in (b"", b"3"))
+    for size in (decontaminate.BYTES, 60):
+        monkeypatch.setattr(decontaminate, "BYTES", size)
+        assert by_id(decontaminate.hits(docs, bench)) == {0: (4, 3, 1, three, True), 1: (2, 2, 0, none, True), 2: (3, 0, 0, none, False)}
+        assert [r.doc_id for r in decontaminate.remove(docs, bench).collect()] == [2]
+        assert [(x.item_id, x.start, x.end) for x in by_id(decontaminate.spans(docs, bench).select("doc_id", "spans"))[0][0]] == [(None, 4, 18), (3, 4, 18)]
+
+
 # 2
 
 
