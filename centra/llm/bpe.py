@@ -111,9 +111,9 @@ class MergeAutomaton:
             return [whole]
         n, at, now = len(word), 0, START
         prefixes, table, arc = self.prefixes.get, self.table, self.arc
-        path: list[tuple[int, int, list[int]]] = []
+        path: list[tuple[int, int, list[tuple[int, int]]]] = []
         dead: set[int] = set()
-        options: list[int] | None = None
+        options: list[tuple[int, int]] | None = None
         ends: list[int] = []
         while at < n:
             if options is None:
@@ -123,10 +123,9 @@ class MergeAutomaton:
                     if token is None:
                         break
                     if token >= 0:
-                        options.append(token << 24 | j)
+                        options.append((token, j))
             while options:
-                option = options.pop()
-                token, j = option >> 24, option & 0xFFFFFF
+                token, j = options.pop()
                 known = table.get((now + 1) << 20 | token)
                 if j not in dead and (arc(now, token) if known is None else known):
                     path.append((at, now, options))

@@ -79,6 +79,13 @@ def test_gadgets_of_a_small_automaton():
     assert [a.encode(w) for w in (b"aaa", b"aaaa", b"ab", b"aab", b"ba", b"aaab")] == [[2, 0], [2, 2], [3], [4], [1, 0], [2, 3]]
 
 
+def test_a_word_of_over_16_mb():
+    a = bpe.MergeAutomaton({"a": 0, "b": 1}, [])
+    word = b"a" * ((1 << 24) + 1) + b"b"
+    ids = a.encode(word)
+    assert len(ids) == len(word) and ids[-2:] == [0, 1] and not any(ids[:-1])
+
+
 # 1
 
 
