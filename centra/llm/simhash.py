@@ -1,24 +1,28 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 A text's fingerprint has a bit set where over half of its shingles' hashes have it. Equal fingerprints are
-one node. Nodes that differ in at most `budget` bits are linked: the 64 bits are cut into budget + 4
-blocks, and of two such fingerprints at least 4 blocks are equal, so both get into the group of some choice of
-4 blocks. A group of distinct fingerprints is never larger than 2 ** (bits that are left), 4 million for
-the budget of 2, whatever the corpus. Within a group the fingerprints, in order, are a binary trie; pairs
-of trie nodes are descended together, the differing bits add up, and a pair is dropped when they exceed the
-budget. All pairs of a level are one array operation. A group hands on the edges of a spanning forest, not
-its pairs; components are then formed over all groups.
+one node. Distinct fingerprints, in order, are a binary trie, and the join descends pairs of its nodes: from the
+root with itself, each pair goes on to the pairs of its children, the differing bits add up, and a pair is dropped when
+they exceed the budget. All pairs of a level are one array operation. Pairs of very small nodes (DIRECT) are compared row by row.
+
+The top of the trie is dealt over tasks: it is cut at the level where no node has over NODE_ROWS
+fingerprints, the node pairs of that level that are within the budget are the tasks' roots, and each
+fingerprint goes to the pairs of its own node: 1 + P + P (P - 1) / 2 of them at level P, for a budget of two. A task's memory does
+not grow with the corpus, and what is shuffled grows with the square of its logarithm. A task hands on the
+edges of a spanning forest, not its pairs; components are then formed over all tasks.
 
 Cases: a null or empty text has the fingerprint zero and is linked like any other. A text of fewer words
-than a shingle is one shingle. Copies share a node, however many. Repeated ids count as the same document's
-id. An empty table gives an empty result. Other columns are ignored by `components_of`.
+than a shingle is one shingle. Copies share a node, however many. Rows that repeat an id are each returned, with
+the fingerprint of their own text; a row without an id (or with one that is no number) has a null id in the
+result, and a component of such rows only a null component_id. An empty table gives an empty result. Other columns are
+ignored by `components_of`.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from fractions import Fraction
+from math import acos, ceil, floor, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +32,18 @@ from pyspark.sql import functions as F
 
 from centra.llm import graph
 from centra.llm.shared import cut
+from centra.llm.words import Words, chunks
 
-SHINGLE, BUDGET, SEED, EQUAL_BLOCKS = 3, 2, 42, 4
-#: Rows of groups that are searched at once, pairs of trie nodes that are descended at once, and products of sizes that are compared outright.
-ROWS, FRONTIER, DIRECT, COMPARED = 250_000, 500_000, 32, 2_000_000
-
-#: Of the dedup by similarity: bits that may differ of 64 * COLUMNS, and the groups that are searched.
-SIMILARITY, COLUMNS, BANDS, BAND_ROWS, WIDE_DIRECT = 0.8, 4, 16, 5, 4096
+SHINGLE, BUDGET, SEED = 3, 2, 42
+#: Fingerprints of a trie node that is a task's root, and the deepest level of such nodes.
+NODE_ROWS, TOP = 65_536, 16
+#: Rows of tasks that are searched at once, pairs of trie nodes that are descended at once, products of sizes that are compared outright, and comparisons at once.
+ROWS, FRONTIER, DIRECT, COMPARED = 250_000, 500_000, 16, 2_000_000
 
-#: Of its exact links: texts of a key that propose all their pairs, mixings of the hashes, the factor of keys, and the classes of sizes.
-FEW, TRIES, MIXED = 8, 4, np.uint64(0x9E3779B97F4A7C15)
-_SCHEMES: dict[tuple[int, int], dict[int, tuple]] = {}
+#: Of the dedup by similarity: columns of 64 bits in a fingerprint, and the bands of least hashes that texts meet in.
+SIMILARITY, COLUMNS, BANDS, BAND_ROWS = 0.8, 4, 24, 3
+#: Texts of a band, and of a group to be verified, that one task holds twice at most; rows that are broadcast at most.
+CHUNK, VERIFIED, BROADCAST = 4096, 512, 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -79,13 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", t
             got = np.fromiter((fingerprint(words(t), shingle) for t in b.column(1).to_pylist()), "u8", b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view("i8"), pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, fp bigint")
-
-
-def masks(budget: int) -> list[int]:
-    """For each choice of EQUAL_BLOCKS of the blocks, the bits in them."""
-    blocks = np.array_split(np.arange(64), budget + EQUAL_BLOCKS)
-    return [sum(1 << int(b) for block in chosen for b in block) for chosen in itertools.combinations(blocks, EQUAL_BLOCKS)]
+    return docs.select(F.expr(f"try_cast(`{key}` AS bigint)").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def _near(x: np.ndarray, i: np.ndarray, j: np.ndarray, budget: int) -> np.ndarray:
@@ -110,23 +109,30 @@ def _direct(x: np.ndarray, al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: n
         begin = end
 
 
-def _pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, direct: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs at most `budget` bits apart within each range of x, whose rows (columns of 64 bits) are in order."""
-    stack = [(64 * x.shape[1] - 1, lo, hi, lo, hi, np.zeros(len(lo), "i2"))]
+def _pairs(x: np.ndarray, ranges: tuple[np.ndarray, ...], budget: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs at most `budget` bits apart, for pairs of ranges (a's start and end, b's start and end, b the same or after a) of x, whose rows (columns of 64 bits) are in order within a range.
+
+    With labels, pairs of rows of one label are spared. Of rows that do not differ at all a chain is enough, without labels.
+    """
+    stack = [(64 * x.shape[1] - 1, *ranges, np.zeros(len(ranges[0]), "i2"))]
     ones: dict[int, np.ndarray] = {}
+    changes = None if label is None else np.concatenate([[0], np.cumsum(label[1:] != label[:-1], dtype="i4")])
     while stack:
         bit, al, ah, bl, bh, err = stack.pop()
         if len(al) > FRONTIER:
             half = len(al) // 2
             stack += [(bit, *(v[:half] for v in (al, ah, bl, bh, err))), (bit, *(v[half:] for v in (al, ah, bl, bh, err)))]
             continue
-        if bit < 0:
+        if label is not None:
+            go = (label[al] != label[bl]) | (changes[ah - 1] != changes[al]) | (changes[bh - 1] != changes[bl])
+            al, ah, bl, bh, err = al[go], ah[go], bl[go], bh[go], err[go]
+        if bit < 0 and label is None:
             # What is left has no more differing bits than the budget: one link a pair of nodes, a chain in a node.
             inner = np.repeat(al[al == bl], (ah - al - 1)[al == bl])
             step = np.arange(len(inner)) - np.repeat(np.cumsum((ah - al - 1)[al == bl]) - (ah - al - 1)[al == bl], (ah - al - 1)[al == bl])
-            yield np.concatenate([al, inner + step]), np.concatenate([bl, inner + step + 1])
+            yield np.concatenate([al[al != bl], inner + step]), np.concatenate([bl[al != bl], inner + step + 1])
             continue
-        small = (ah - al) * (bh - bl) <= direct
+        small = ((ah - al) * (bh - bl) <= DIRECT) | (bit < 0)
         if small.any():
             yield from _direct(x, al[small], ah[small], bl[small], bh[small], budget)
             rest = ~small
@@ -136,7 +142,7 @@ def _pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, direct: i
         if bit not in ones:
             # Ones below each place: within a node, rows with a one at this bit follow those without.
             column = x[:, x.shape[1] - 1 - bit // 64]
-            ones[bit] = np.concatenate([[0], np.cumsum((column >> np.uint64(bit % 64)) & np.uint64(1), dtype="i8")])
+            ones[bit] = np.concatenate([np.zeros(1, "i4"), np.cumsum((column >> np.uint64(bit % 64)) & np.uint64(1), dtype="i4")])
         c = ones[bit]
         am, bm = ah - (c[ah] - c[al]), bh - (c[bh] - c[bl])
         same = al == bl
@@ -156,53 +162,72 @@ def _pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, direct: i
             stack.append((bit - 1, *merged))
 
 
-def _forest(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, direct: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges, as indices, from each linked row to the first of its component within its range."""
-    root = np.arange(len(x))
-    for i, j in _pairs(x, lo, hi, budget, direct):
-        while len(i):
+def _spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that make a spanning forest of n rows."""
+    root = np.arange(n)
+    one, two = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+    for i, j in pairs:
+        while True:
             a, b = root[i], root[j]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            np.minimum.at(root, high, low)
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            # A pair for each root that is not the least of its pair: it hangs that root below the other.
+            high, at = np.unique(np.maximum(a, b), return_index=True)
+            one.append(i[at])
+            two.append(j[at])
+            root[high] = np.minimum(a, b)[at]
             while not np.array_equal(jumped := root[root], root):
                 root = jumped
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
-    moved = np.flatnonzero(root != np.arange(len(x)))
-    return moved, root[moved]
-
-
-def _search(group: np.ndarray, x: np.ndarray, node: np.ndarray, budget: int, direct: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between nodes; `group` has equal rows next to each other, x the fingerprints, the highest 64 bits first."""
-    edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1), [True]]))
-    sizes = np.diff(edges)
-    number = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((*x.T[::-1], number))
-    order = order[sizes[number[order]] > 1]
-    if not len(order):
-        return node[:0], node[:0]
-    x, number, node = x[order], number[order], node[order]
-    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-    u, v = _forest(x, starts, np.append(starts[1:], len(x)), budget, direct)
-    return node[u], node[v]
-
-
-def _grouped(dealt: DataFrame, width: int, budget: int, direct: int) -> DataFrame:
-    """Rows (two of a group's key, node, `width` of a fingerprint), a group's rows together, to edges (u, v)."""
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _search(keys: np.ndarray, side: np.ndarray, node: np.ndarray, x: np.ndarray, budget: int, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes; `keys` has equal rows next to each other, x the fingerprints, the highest 64 bits first."""
+    edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]]))
+    number = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    order = np.lexsort((*x.T[::-1], side, number))
+    x, number, side, node = x[order], number[order], side[order], node[order]
+    label = None if label is None else label[order]
+    starts = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (side[1:] != side[:-1])]))
+    ends = np.append(starts[1:], len(x))
+    alone = (keys[edges[:-1], -1] == keys[edges[:-1], -2])[number[starts]]
+    # A task's root is a node with itself, or two nodes of the trie: their rows follow each other.
+    own = np.flatnonzero(alone & (ends - starts > 1))
+    first = np.flatnonzero(~alone[:-1] & (number[starts][1:] == number[starts][:-1]))
+    a, b = np.concatenate([own, first]), np.concatenate([own, first + 1])
+    pairs = _pairs(x, (starts[a], ends[a], starts[b], ends[b]), budget, label)
+    if label is None:
+        i, j = _spanning(len(x), pairs)
+    else:
+        found = [(i[label[i] != label[j]], j[label[i] != label[j]]) for i, j in pairs]
+        i, j = (np.concatenate([np.zeros(0, "i8"), *c]) for c in (zip(*found, strict=True) if found else ([], [])))
+    return node[i], node[j]
+
+
+def _joined(dealt: DataFrame, keys: int, width: int, budget: int, labelled: bool = False) -> DataFrame:
+    """Rows to edges (u, v). A row is a task's key, whose last two columns are the task's two trie nodes, the side that the row is on, the row's node, `width` columns of its fingerprint and its label, if any; a task's rows are together.
+
+    Without labels the edges make a spanning forest of each task's pairs within the budget, with labels they are all pairs whose labels differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def search(rows: np.ndarray) -> pa.RecordBatch:
-            u, v = _search(rows[:, :2], np.ascontiguousarray(rows[:, 3:]).view("u8"), rows[:, 2], budget, direct)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            x = np.ascontiguousarray(rows[:, keys + 2 : keys + 2 + width]).view("u8")
+            u, v = _search(rows[:, :keys], rows[:, keys], rows[:, keys + 1], x, budget, rows[:, -1] if labelled else None)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64())], ["u", "v"])
 
         for b in batches:
-            held.append(np.column_stack([b.column(i).to_numpy() for i in range(3 + width)]))
+            if not b.num_rows:
+                continue
+            held.append(np.column_stack([c.to_numpy() for c in b.columns]))
             size += b.num_rows
             if size >= ROWS:
                 rows = np.concatenate(held)
-                last = (rows[:, :2] == rows[-1, :2]).all(1)
+                last = (rows[:, :keys] == rows[-1, :keys]).all(1)
                 held, size = [rows[last]], int(last.sum())
                 if size < len(rows):
                     yield search(rows[~last])
@@ -212,11 +237,22 @@ def _grouped(dealt: DataFrame, width: int, budget: int, direct: int) -> DataFram
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
+def level(nodes: DataFrame) -> int:
+    """The first level of the trie where no node has over NODE_ROWS fingerprints, TOP at most; 2 ** TOP counts reach the driver."""
+    sizes = np.zeros(1 << TOP, "i8")
+    for prefix, n in nodes.groupBy(F.shiftrightunsigned("fp", 64 - TOP).alias("p")).count().collect():
+        sizes[prefix] = n
+    return next((p for p in range(TOP) if sizes.reshape(1 << p, -1).sum(1).max() <= NODE_ROWS), TOP)
+
+
 def links(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Distinct fingerprints (fp) to edges (u, v) that connect what lies within the budget."""
-    keys = F.array(*[F.struct(F.lit(i).cast("bigint").alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("part")) for i, m in enumerate(masks(budget))])
-    dealt = nodes.select("fp", F.inline(keys)).repartition("choice", "part").sortWithinPartitions("choice", "part")
-    return _grouped(dealt.select("choice", "part", F.col("fp").alias("node"), "fp"), 1, budget, DIRECT)
+    p = level(nodes)
+    prefix = F.shiftrightunsigned("fp", 64 - p) if p else F.lit(0).cast("bigint")
+    apart = F.array(*[F.lit(m).cast("bigint") for m in range(1 << p) if m.bit_count() <= budget])
+    pairs = F.transform(apart, lambda m: F.struct(F.least("own", F.col("own").bitwiseXOR(m)).alias("a"), F.greatest("own", F.col("own").bitwiseXOR(m)).alias("b")))
+    dealt = nodes.select("fp", prefix.alias("own")).select("fp", "own", F.inline(pairs)).repartition("a", "b").sortWithinPartitions("a", "b")
+    return _joined(dealt.select("a", "b", (F.col("own") == F.col("b")).cast("bigint").alias("side"), F.col("fp").alias("node"), "fp"), 2, 1, budget)
 
 
 def components_of(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,235 +271,209 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
-def _sketch(split: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The fingerprint's columns, the number of different shingles with their parities in 64 * COLUMNS buckets, and one key a band: a hash of BAND_ROWS least values under as many permutations of the shingles' hashes."""
-    hashes = shingle_hashes(split, shingle)
-    if not len(hashes):
-        return np.zeros(COLUMNS, "u8"), np.zeros(1 + COLUMNS, "u8"), np.zeros(BANDS, "u8")
-    columns = []
-    for salt in _odd(COLUMNS, 1):
-        h = hashes * salt
-        columns.append(majority(h ^ (h >> np.uint64(32))))
-    least = np.full(BANDS * BAND_ROWS, np.iinfo("u8").max, "u8")
-    salts, h = _odd(BANDS * BAND_ROWS, 2), np.unique(hashes)
-    for i in range(0, len(h), 4096):
-        mixed = h[i : i + 4096, None] * salts
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(0))
-    keys = (least.reshape(BANDS, BAND_ROWS) * _odd(BAND_ROWS, 3)).sum(1, dtype="u8")
-    odd = np.bincount((h % np.uint64(64 * COLUMNS)).astype("i8"), minlength=64 * COLUMNS) & 1
-    return np.array(columns, "u8"), np.concatenate([np.array([len(h)], "u8"), np.packbits(odd.astype("u1"), bitorder="little").view("u8")]), keys
-
+def shingle_sets(texts: list[str | None], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A 64-bit name of each text's words, and the hashes of its different shingles, in order; A-Z are lower-cased."""
+    for begin, end in chunks(texts):
+        w = Words([(t or "").encode().lower() for t in texts[begin:end]])
+        hashes = w.hashes()
+        for i in range(end - begin):
+            own = hashes[w.base[i] : w.base[i + 1]]
+            yield Words.name(own), np.unique(Words.rolled(own, min(shingle, len(own)))) if len(own) else own
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, two halves of a 128-bit name of the words, the fingerprint's columns, size and parities of the set of shingles, and the bands' keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, prints, marks, keys = (np.zeros((b.num_rows, n), "u8") for n in (2, COLUMNS, 1 + COLUMNS, BANDS))
-            for i, t in enumerate(b.column(1).to_pylist()):
-                split = words(t)
-                name = xxhash.xxh3_128_intdigest(b" ".join(split))
-                names[i] = name >> 64, name & 0xFFFFFFFFFFFFFFFF
-                prints[i], marks[i], keys[i] = _sketch(split, shingle)
-            numbers = [*names.T, *prints.T, *marks.T]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view("i8"), pa.int64()) for c in numbers), pa.array(list(keys.view("i8")), pa.list_(pa.int64()))], ["doc_id", "t0", "t1", *(f"f{i}" for i in range(COLUMNS)), "size", *(f"odd{i}" for i in range(COLUMNS)), "keys"])
-
-    kinds = ", ".join([*(f"f{i} bigint" for i in range(COLUMNS)), "size bigint", *(f"odd{i} bigint" for i in range(COLUMNS))])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, t0 bigint, t1 bigint, {kinds}, keys array<bigint>")
-
-
-def _scheme(c: int, up: int, down: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Class c of sizes: its least size, the shingles that two linked sets up to its sizes may not share, and its buckets' ends and numbers."""
-    if c not in _SCHEMES.setdefault((up, down), {}):
-        before = _scheme(c - 1, up, down)[0] if c else 0
-        low = max(before + 1, before * 5 // 4)
-        top = max(low + 1, low * 5 // 4) - 1
-        differ = 2 * top * down // up
-        m = 1 + differ + differ // 8
-        ends = np.array([(i << 64) // m for i in range(1, m)], "u8")
-        _SCHEMES[up, down][c] = low, differ, ends, (np.arange(m, dtype="u8") + np.uint64(c << 34)) * _odd(1, 5)
-    return _SCHEMES[up, down][c]
-
-
-def _keys(hashes: np.ndarray, share: Fraction) -> np.ndarray:
-    """Keys of a set of hashes, in order: two sets of which `share` is common have one key in common, always.
-
-    Sets of sizes a and b differ in at most (a + b) * (1 - share) / (1 + share) hashes. The hashes are dealt into
-    more buckets than that, so one bucket at least is equal in both; a key is a bucket's number and the sum of its hashes.
-    Buckets are those of the larger set's class of sizes, so a set has keys for each class that a larger one can be
-    in. Empty buckets give no key. If those with hashes are too few for that, the set has also keys with the hashes
-    mixed anew, and after TRIES of that for its empty buckets.
-    """
-    up, down = int((1 + share) * share.denominator), int((1 - share) * share.denominator)
-    n, out, c = len(hashes), [], 0
-    while n and share.numerator * _scheme(c, up, down)[0] <= share.denominator * n:
-        if _scheme(c + 1, up, down)[0] > n:
-            _, differ, ends, numbers = _scheme(c, up, down)
-            for i in range(TRIES):
-                h = np.sort(hashes * _odd(TRIES, 6)[i]) if i else hashes
-                cuts = np.concatenate([[0], np.searchsorted(h, ends), [n]])
-                sums = np.diff(np.concatenate([np.zeros(1, "u8"), np.cumsum(h, dtype="u8")])[cuts])
-                full = np.diff(cuts) > 0
-                enough = full.sum() > differ
-                got = sums * MIXED + numbers + np.uint64(i)
-                out.append(got[full] if enough or i < TRIES - 1 else got)
-                if enough:
-                    break
-        c += 1
-    return np.concatenate(out) if out else hashes
-
-
-def _flat(ids: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.repeat(np.array(ids, "i8"), [len(a) for a in arrays])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays).view("i8"), pa.int64()), pa.array(rows, pa.int64())], ["key", "node"])
-
-
-def keyed(texts: DataFrame, shingle: int, share: Fraction) -> DataFrame:
-    """key, node: the keys of each text."""
+def _sketch(hashes: np.ndarray, columns: np.ndarray, salts: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint's columns, and one key a band: a hash of BAND_ROWS least values under as many permutations of the shingles' hashes."""
+    if not len(hashes):
+        return np.zeros(COLUMNS, "u8"), np.zeros(0, "u8")
+    prints = []
+    for salt in columns:
+        h = hashes * salt
+        prints.append(majority(h ^ (h >> np.uint64(32))))
+    least = np.full(len(salts), np.iinfo("u8").max, "u8")
+    for i in range(0, len(hashes), 1024):
+        mixed = salts[:, None] * hashes[None, i : i + 1024]
+        mixed ^= mixed >> np.uint64(29)
+        least = np.minimum(least, mixed.min(1))
+    keys = (least.reshape(BANDS, BAND_ROWS) * band).sum(1, dtype="u8")
+    return np.array(prints, "u8"), (keys ^ (keys >> np.uint64(31))) * _BAND_SALTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, arrays, size = [], [], 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                arrays.append(_keys(np.unique(shingle_hashes(words(t), shingle)), share))
-                size += len(arrays[-1])
-                if size >= ROWS:
-                    yield _flat(ids, arrays)
-                    ids, arrays, size = [], [], 0
-            if ids:
-                yield _flat(ids, arrays)
 
-    return texts.mapInArrow(run, "key bigint, node bigint")
+_BAND_SALTS = _odd(BANDS, 4)
 
 
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, the hashes of its different shingles, in order."""
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, mark, text to doc_id, mark, node (a name of the words), the fingerprint's columns and the bands' keys."""
+    prints = [f"f{i}" for i in range(COLUMNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                sets = [np.unique(shingle_hashes(words(t), shingle)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.view("i8") for h in sets], pa.list_(pa.int64()))], ["node", "hashes"])
+        columns, salts, band = _odd(COLUMNS, 1), _odd(BANDS * BAND_ROWS, 2), _odd(BAND_ROWS, 3)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                nodes, got, keys = [], [], []
+                for name, hashes in shingle_sets(b.column(2).to_pylist(), shingle):
+                    own, bands = _sketch(hashes, columns, salts, band)
+                    nodes.append(name)
+                    got.append(own)
+                    keys.append(bands.view("i8"))
+                numbers = [np.array(nodes, "u8"), *np.array(got, "u8").reshape(-1, COLUMNS).T]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(c).view("i8"), pa.int64()) for c in numbers), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "node", *prints, "keys"])
 
-    return texts.mapInArrow(run, "node bigint, hashes array<bigint>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, f"doc_id bigint, mark bigint, node bigint, {', '.join(f'{f} bigint' for f in prints)}, keys array<bigint>")
 
 
-def _by_group(rows: DataFrame, kinds: str, names: list[str], search) -> DataFrame:
-    """Rows that begin with a key, a key's rows together, to what `search` makes of the key and its other columns."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """key, node, a key's rows together, without the rows whose key no other row has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            table = np.column_stack([c.to_numpy() for c in b.columns])
-            held = table if held is None else np.concatenate([held, table])
-            if len(held) < ROWS or held[0, 0] == held[-1, 0]:
-                continue
-            last = int(np.searchsorted(held[:, 0], held[-1, 0]))
-            ready, held = held[:last], held[last:]
-            yield from groups(ready)
-        if held is not None:
-            yield from groups(held)
-
-    def groups(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = np.flatnonzero(np.concatenate([[True], table[1:, 0] != table[:-1, 0], [True]]))
-        many = np.flatnonzero(np.diff(edges) > 1)
-        out, size = [], 0
-        for lo, hi in zip(edges[many].tolist(), edges[many + 1].tolist(), strict=True):
-            for got in search(table[lo:hi]):
-                out.append(got)
-                size += len(got)
-                if size >= ROWS:
-                    yield batch(np.concatenate(out))
-                    out, size = [], 0
-        if size:
-            yield batch(np.concatenate(out))
+        key, node, seen = np.zeros(0, "i8"), np.zeros(0, "i8"), False
 
-    def batch(got: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in got.T], names)
+        def kept(n: int) -> pa.RecordBatch:
+            """The first n rows, the row after them being known or the end; `seen` tells whether the first one's key came before."""
+            same = np.concatenate([[seen], key[1:] == key[:-1], [False]])
+            at = np.flatnonzero((same[:-1] | same[1:])[:n])
+            return pa.RecordBatch.from_arrays([pa.array(key[at], pa.int64()), pa.array(node[at], pa.int64())], ["key", "node"])
 
-    return rows.mapInArrow(run, kinds)
+        for b in batches:
+            key, node = (np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate((key, node)))
+            if len(key) > 1:
+                yield kept(len(key) - 1)
+                seen = bool(key[-2] == key[-1])
+                key, node = key[-1:], node[-1:]
+        if len(key):
+            yield kept(1)
+
+    return rows.mapInArrow(run, "key bigint, node bigint")
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """key, a, b, side, node and fingerprint: the texts that share a band, where a band of over CHUNK texts is cut into parts and each pair (a, b) of its parts is a task by itself."""
+    pairs = nodes.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key")
+    shared = cut(_shared(pairs))
+    large = cut(shared.groupBy("key").agg(F.count("*").alias("n_")).where(F.col("n_") > CHUNK).select(F.col("key").alias("key_"), F.ceil(F.col("n_") / CHUNK).cast("bigint").alias("parts_")))
+    parts = shared.join(F.broadcast(large) if large.count() <= BROADCAST else large, F.col("key") == F.col("key_"), "left").select("key", "node", F.coalesce("parts_", F.lit(1).cast("bigint")).alias("parts_"))
+    own = parts.select("key", "node", "parts_", F.pmod(F.xxhash64("node"), "parts_").alias("own"))
+    both = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts_") - 1), lambda o: F.struct(F.least("own", o).alias("a"), F.greatest("own", o).alias("b")))
+    rows = own.select("key", "node", "own", F.inline(both)).select("key", "a", "b", (F.col("own") == F.col("b")).cast("bigint").alias("side"), "node")
+    prints = [f"f{i}" for i in range(COLUMNS)]
+    return cut(rows.join(nodes.select(F.col("node").alias("node_"), *prints), F.col("node") == F.col("node_")).select("key", "a", "b", "side", "node", *prints))
 
 
-def _proposed(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """key, u, v: the pairs (key 0) of a small group, the nodes of a large one with its key (u equal to v)."""
-    nodes = np.unique(rows[:, 1])
-    n = len(nodes)
-    i, j = np.triu_indices(n, 1) if n <= FEW else (np.arange(n), np.arange(n))
-    yield np.column_stack([np.full(len(i), 0 if n <= FEW else rows[0, 0]), nodes[i], nodes[j]])
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
 
-def _apart(rows: np.ndarray, up: int, down: int) -> Iterator[np.ndarray]:
-    """u, v of a group (key, node, label, size, parities) whose labels differ, but for those whose parities or sizes alone differ too much.
+def _verified(edges: DataFrame, texts: DataFrame, shingle: int, share: Fraction) -> DataFrame:
+    """Of the edges (u, v) those whose sets of shingles have a cosine of at least `share`; texts are (node, text).
 
-    Each shingle that only one text has flips one parity, so no more parities differ than shingles.
+    The sets meet by component of the edges, each text's once. A component of over VERIFIED texts is
+    cut into parts, and each pair of parts that has an edge is a task by itself.
     """
-    if (rows[:, 2] == rows[0, 2]).all():
-        return
-    node, label, size, odd = rows[:, 1], rows[:, 2], rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view("u8")
-    step = max(1, COMPARED // len(rows))
-    for a in range(0, len(rows), step):
-        b = slice(a, a + step)
-        differ = np.maximum(np.bitwise_count(odd[b, None] ^ odd[None]).sum(2, dtype="i8"), np.abs(size[b, None] - size[None]))
-        i, j = np.nonzero((label[b, None] != label[None]) & (node[b, None] < node[None]) & (differ * up <= (size[b, None] + size[None]) * down))
-        yield np.column_stack([node[b][i], node[j]])
+    rooted = graph.components(edges)
+    members = rooted.select("node", "root").unionAll(rooted.select(F.col("root").alias("node"), "root")).distinct()
+    sizes = members.groupBy(F.col("root").alias("root_")).agg(F.ceil(F.count("*") / VERIFIED).cast("bigint").alias("parts_"))
+    part = cut(members.join(sizes, F.col("root") == F.col("root_")).select("node", "root", F.pmod(F.xxhash64("node"), "parts_").alias("part")))
+    left, right = (part.select(F.col("node").alias(f"node_{x}"), F.col("root").alias(f"root_{x}"), F.col("part").alias(f"part_{x}")) for x in "uv")
+    placed = cut(edges.join(left, F.col("u") == F.col("node_u")).join(right, F.col("v") == F.col("node_v")).select(F.col("root_u").alias("key"), F.least("part_u", "part_v").alias("a"), F.greatest("part_u", "part_v").alias("b"), "u", "v"))
+    ends = placed.select("key", "a", "b", F.col("u").alias("node")).unionAll(placed.select("key", "a", "b", F.col("v").alias("node"))).distinct()
+    wanted = cut(ends.select(F.col("node").alias("node_")).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    once = texts.join(few, F.col("node") == F.col("node_"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for _, h in shingle_sets(b.column(1).to_pylist(), shingle)], pa.binary())], ["of", "hashes"])
+
+    hashed = once.select("node", "text").mapInArrow(sets, "of bigint, hashes binary")
+    sides = ends.join(hashed, F.col("node") == F.col("of")).select("key", "a", "b", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "hashes")
+    rows = sides.unionAll(placed.select("key", "a", "b", "u", "v", F.lit(None).cast("binary").alias("hashes")))
 
-
-def _verified(edges: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Of the edges (u, v) those whose texts have the share of their different shingles in common."""
-    left, right = (sets.select(F.col("node").alias(f"{x}_"), F.col("hashes").alias(f"h{x}_")) for x in "uv")
-    both = edges.join(left, F.col("u") == F.col("u_")).join(right, F.col("v") == F.col("v_"))
-    both = both.select("u", "v", (F.size("hu_") + F.size("hv_")).cast("bigint").alias("sum_"), F.size(F.array_intersect("hu_", "hv_")).cast("bigint").alias("common_"))
-    return both.where(F.col("common_") * share.denominator >= (F.col("sum_") - F.col("common_")) * share.numerator).select("u", "v").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, {}
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for k, a, c, u, v, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (k, a, c) != task:
+                    task, held = (k, a, c), {}
+                if v is None:
+                    held[u] = np.frombuffer(raw, "u8")
+                elif _similar(held[u], held[v], share):
+                    out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+
+    # A task's sets come before its edges.
+    together = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", F.col("v").asc_nulls_first())
+    return together.mapInArrow(run, "u bigint, v bigint")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, share: Fraction) -> bool:
+    """Whether two sets of hashes, in order, have a cosine of at least `share`; in whole numbers, so exactly."""
+    low, high = sorted((len(a), len(b)))
+    if not low or low * share.denominator**2 < high * share.numerator**2:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common**2 * share.denominator**2 >= share.numerator**2 * low * high
+
+
+def budgets(similarity: float, bits: int = 64 * COLUMNS) -> tuple[int, int]:
+    """Bits that two fingerprints differ in at that cosine: the mean, and four standard deviations beyond it."""
+    angle = acos(similarity) / pi
+    return floor(bits * angle), ceil(bits * angle + 4 * sqrt(bits * angle * (1 - angle)))
 
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with one of each group of near duplicates: that with the smallest id.
 
-    Two texts are linked if they are similar by one of two measures. By fingerprints, similarity is the share of equal
-    bits of 64 * COLUMNS over shingles of five words. A fifth of the bits is too large a budget to cut into equal
-    blocks, so the groups that are searched by trie are made of texts that share a band of least hashes; pairs can be
-    missed. By shingles, it is the Jaccard similarity of the sets of 64-bit hashes. That one misses no pair: candidates
-    have one of `_keys` in common, those that fingerprints did not put into one component are compared exactly.
-    A pair is left out before that if the sizes or 256 parities of the two sets differ in more than the similarity allows.
-    A key of up to FEW texts proposes its pairs at once; those of larger ones are only written after that.
-
-    Equal texts are one node before that. Rows that repeat an id stay together, and so do rows without an id.
+    Two texts are linked if the cosine of their sets of shingles, which is the similarity that the bits of fingerprints
+    stand for, is at least `similarity`; it is decided by the sets themselves. Their Jaccard similarity is never
+    above that cosine, so whatever has `similarity` by Jaccard is linked too. Fingerprints have 64 * COLUMNS bits over the different shingles.
+    A budget of a fifth of the bits hardly prunes the top of a trie, so the tries that are joined are
+    those of the texts that share one of BANDS bands of BAND_ROWS least hashes. Of two texts of equal size at the threshold, no band
+    is shared with a probability of 2.2e-4, at a Jaccard similarity of 0.8 of 3e-8; fewer than 1e-4 at the threshold differ in more bits than the wider budget.
+
+    Two rounds keep candidates few. The first joins within the mean of bits at the threshold, and each task hands on a spanning
+    forest of such pairs, which is verified. The second joins within the wider budget, but descends no pair
+    of trie nodes that verified links have already put into one component. Candidates of the second round grow with the square of a group
+    of different texts that are near the threshold to each other, but not linked.
+
+    Equal texts (by a 64-bit hash of their words) are one node. Rows with one id and one text are one row, and one of them stays. Null and
+    empty texts are copies of each other. A row without an id stays only if no other of its group has one; ids that are no
+    numbers count as none. Of several with the same id the one whose text has the smaller hash stays.
     """
     share = Fraction(str(similarity))
-    got = cut(sketches(docs, shingle))
-    first = cut(got.groupBy("t0", "t1").agg(F.min("doc_id").alias("node")).select("node"))
-    nodes = got.join(first, F.col("doc_id") == F.col("node"), "left_semi")
+    near, far = budgets(similarity)
+    marked = docs.select("*", F.expr("try_cast(doc_id AS bigint)").alias("id__"), F.xxhash64("text").alias("mark__"))
+    got = cut(sketches(marked.select(F.col("id__").alias("doc_id"), F.col("mark__").alias("mark"), "text"), shingle))
     prints = [f"f{i}" for i in range(COLUMNS)]
-    dealt = nodes.select("doc_id", *prints, F.posexplode("keys").alias("band", "key")).repartition("band", "key").sortWithinPartitions("band", "key")
-    budget = round((1 - similarity) * 64 * COLUMNS)
-    near = cut(_grouped(dealt.select(F.col("band").cast("bigint"), "key", F.col("doc_id").alias("node"), *prints), COLUMNS, budget, WIDE_DIRECT).distinct())
-    more = _exact(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), first, got, graph.components(near), shingle, share)
-    joined = graph.components(near.unionAll(more))
-    kept = first.join(joined.select(F.col("node").alias("other")), F.col("node") == F.col("other"), "left_anti")
-    return docs.join(kept, docs["doc_id"].cast("bigint") == kept["node"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
-
-
-def _exact(texts: DataFrame, first: DataFrame, got: DataFrame, joined: DataFrame, shingle: int, share: Fraction) -> DataFrame:
-    """Edges (u, v) between texts of the nodes in `first` that have the share of their shingles in common, but for those within a component of `joined`."""
-    dealt = keyed(texts.join(first, F.col("doc_id") == F.col("node"), "left_semi"), shingle, share).repartition("key").sortWithinPartitions("key")
-    found = cut(_by_group(dealt, "key bigint, u bigint, v bigint", ["key", "u", "v"], _proposed).distinct())
-    odd = [f"odd{i}" for i in range(COLUMNS)]
-    # An id that is repeated has several sketches and is compared by each.
-    own = got.join(first, F.col("doc_id") == F.col("node"), "left_semi").join(joined.withColumnRenamed("node", "of"), F.col("doc_id") == F.col("of"), "left")
-    marks = cut(own.select(F.col("doc_id").alias("member"), F.coalesce("root", "doc_id").alias("label"), "size", *odd))
-    up, down = int((1 + share) * share.denominator), int((1 - share) * share.denominator)
-    left, right = (marks.select(*(F.col(c).alias(f"{c}_{x}") for c in marks.columns)) for x in "uv")
-    pairs = found.where("u < v").join(left, F.col("u") == F.col("member_u")).join(right, F.col("v") == F.col("member_v"))
-    differ = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in odd), F.lit(0).cast("bigint"))
-    differ = F.greatest(differ, F.abs(F.col("size_u") - F.col("size_v")))
-    pairs = pairs.where((F.col("label_u") != F.col("label_v")) & (differ * up <= (F.col("size_u") + F.col("size_v")) * down)).select("u", "v")
-    marked = found.where("u = v").select("key", F.col("u").alias("in_")).join(marks, F.col("in_") == F.col("member")).select("key", *marks.columns).repartition("key").sortWithinPartitions("key")
-    apart = _by_group(marked, "u bigint, v bigint", ["u", "v"], lambda rows: _apart(rows, up, down))
-    edges = cut(pairs.unionAll(apart).distinct())
-    ends = edges.select(F.col("u").alias("end")).unionAll(edges.select("v")).distinct()
-    return cut(_verified(edges, cut(_sets(texts.join(ends, F.col("doc_id") == F.col("end"), "left_semi"), shingle)), share))
+    nodes = cut(got.select("node", *prints, "keys").dropDuplicates(["node"]))
+    dealt = _dealt(nodes)
+    # The texts of nodes are found by the hash of the text itself, without computing their words again.
+    named = cut(got.groupBy("mark").agg(F.min("node").alias("node")).join(dealt.select(F.col("node").alias("in_")).distinct(), F.col("node") == F.col("in_"), "left_semi"))
+    names = F.broadcast(named) if named.count() <= BROADCAST else named
+    texts = marked.select("text", "mark__").join(names, F.col("mark__") == F.col("mark")).select("node", "text")
+    first = cut(_joined(_together(dealt), 3, COLUMNS, near).distinct())
+    sure = cut(_verified(first, texts, shingle, share))
+    label = graph.components(sure).select(F.col("node").alias("of_"), "root")
+    labelled = dealt.join(label, F.col("node") == F.col("of_"), "left").select(*dealt.columns, F.coalesce("root", "node").alias("label"))
+    more = cut(_joined(_together(labelled), 3, COLUMNS, far, True).distinct())
+    joined = graph.components(sure.unionAll(_verified(more, texts, shingle, share)))
+
+    # Copies are summed up by node before they are joined.
+    first_of = lambda c: F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias(c)
+    least = got.groupBy("node").agg(first_of("first")).join(joined.withColumnRenamed("node", "of_"), F.col("node") == F.col("of_"), "left")
+    kept = cut(least.groupBy(F.coalesce("root", "node").alias("of")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark")))
+    rows = cut(got.groupBy("doc_id", "mark").agg(F.count("*").alias("n")))
+    match = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    dropped = cut(rows.join(kept, match, "left_anti").select(F.col("doc_id").alias("dropped_id"), F.col("mark").alias("dropped_mark")))
+    gone = F.broadcast(dropped) if dropped.count() <= BROADCAST else dropped
+    left = marked.join(gone, F.col("id__").eqNullSafe(F.col("dropped_id")) & (F.col("mark__") == F.col("dropped_mark")), "left_anti")
+    if not rows.where("n > 1").join(kept, match, "left_semi").isEmpty():
+        left = left.dropDuplicates(["id__", "mark__"])
+    return left.drop("id__", "mark__")
 
 
 def report(docs: DataFrame) -> DataFrame:
