@@ -1,7 +1,13 @@
 """The corpus pipeline: each stage takes the documents that the one before it left.
 
 Stages but the last return the columns of documents; n_chars follows the text. A stage is judged on its own
-input. Rows without a doc_id pass the near-dedup, as no group can name them.
+input.
+
+Cases: null and empty texts are scored like each other, have no lines to lose, are copies of each other in the near-dedup,
+which keeps one of them, hold no benchmark window and have no tokens. Texts of any length go through whole. Of near copies the
+one with the smallest id stays, of rows that repeat an id and a text one. A row without an id is scored and
+cleaned like others, and stays if no other of its group has an id. Empty tables give an empty result, an empty benchmark removes nothing, and without labels
+every score is 0.5, so all stay. Columns other than those of documents are not carried along.
 """
 
 from __future__ import annotations
@@ -50,7 +56,7 @@ STAGES = [
     ("benchmark decontamination", drop_contaminated),
     ("BPE encoding and decoding", tokenize),
 ]
-#: The classifier, the fingerprints and the automata have no SQL; tests/llm holds the rows against a brute-force version.
+#: The classifier, the fingerprints and the automata have no SQL; tests/llm decides each stage again by brute force.
 ORACLE_SQL = None
 
 
