@@ -5,13 +5,20 @@ is compiled in order by a gadget: the state that u leads to is cloned without it
 redirected to the clone, and every state with an arc for u gets one for w that leads where v leads.
 What remains after the last merge accepts exactly the token sequences that the merges produce, and
 each byte string has one path through it. A clone is kept as its difference from the state that it
-was cloned from (the arc it lost, and when), so the automaton has one row a token and is expanded
-into a transition table for the pairs that texts use.
+was cloned from (the arc it lost, and when), so the automaton has one row a token.
 
-Cases: a null text counts as an empty one and has no tokens. Texts of any length are encoded whole;
-time grows with the length. Repeated rows give repeated results. An empty table gives an empty one.
+Words are encoded by transitions over bytes. A prefix of a word has one path too, so what the rest of it depends on
+is which states the path passed while the bytes since then still spell the beginning of a label: a state of the
+transition table is the list of those (state, place in the trie of labels). A byte leads from one such state
+to the next and emits the label of the arc that ends there, the last token of the prefix. The table is filled as texts use it;
+reading the emitted labels backwards from the end gives the tokens. Nothing is tried twice.
+
+Cases: a null text counts as an empty one and has no tokens. Texts and words of any length are encoded whole;
+time grows with the length. Repeated rows give repeated results. An empty table gives an empty one. A doc_id that is no number
+is null in the digests.
 Other columns are neither read nor returned by the digests; `encode` keeps them and replaces a
-column that has the name of its output.
+column that has the name of its output. A tokenizer file that asks for anything else than byte-level merging under the one split
+pattern is an error.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ SPLIT = r""" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 START = -1
 NEVER = float("inf")
 #: Entries of the caches of a Python worker; a full cache is emptied.
-WORDS, ARCS = 300_000, 600_000
+WORDS, ARCS, TRANSITIONS = 300_000, 600_000, 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,12 +60,28 @@ class MergeAutomaton:
         self.lost = {}  # token -> {token whose arc its state lost: rank}
         for rank, (left, right) in enumerate(merges):
             self._gadget(vocabulary[left], vocabulary[right], vocabulary[left + right], rank)
-        self.prefixes: dict[bytes, int] = {}
+        self.size = {i: len(x) for i, x in self.label.items()}
+        # The trie of labels: a node and a byte to a node, and the tokens that end at nodes.
+        self.trie: dict[int, int] = {}
+        self.ends = [-1]
         for i, label in self.label.items():
-            for n in range(1, len(label)):
-                self.prefixes.setdefault(label[:n], -1)
-            self.prefixes[label] = i
-        self.table: dict[int, bool] = {}
+            node = 0
+            for c in label:
+                following = self.trie.get(node << 8 | c)
+                if following is None:
+                    following = self.trie[node << 8 | c] = len(self.ends)
+                    self.ends.append(-1)
+                node = following
+            self.ends[node] = i
+        self.inner = {k >> 8 for k in self.trie}
+        self.arcs: dict[tuple[int, int], bool] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        """A table with the state of the empty prefix only."""
+        self.states: list[tuple[tuple[int, int], ...]] = [((START, 0),)]
+        self.number = {self.states[0]: 0}
+        self.table: dict[int, tuple[int, int]] = {}
 
     def _gadget(self, u: int, v: int, w: int, rank: int) -> None:
         if w not in self.made:
@@ -92,60 +115,68 @@ class MergeAutomaton:
             token, until = self.made[token]
 
     def arc(self, state: int, token: int) -> bool:
-        key = (state + 1) << 20 | token
-        known = self.table.get(key)
+        known = self.arcs.get((state, token))
         if known is None:
-            if len(self.table) >= ARCS:
-                self.table.clear()
-            known = self.table[key] = self._expand(state, token)
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
+            known = self.arcs[state, token] = self._expand(state, token)
         return known
 
+    def transition(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state of the table, and the token that ends at this byte."""
+        open_, token = [], -1
+        for before, node in self.states[state]:
+            node = self.trie.get(node << 8 | byte, 0)
+            if not node:
+                continue
+            end = self.ends[node]
+            if token < 0 <= end and self.arc(before, end):
+                token = end
+            if node in self.inner:
+                open_.append((before, node))
+        if token < 0:
+            raise ValueError("the vocabulary lacks a byte of the word")
+        key = (*open_, (token, 0))
+        following = self.number.get(key)
+        if following is None:
+            following = self.number[key] = len(self.states)
+            self.states.append(key)
+        got = self.table[state << 8 | byte] = following, token
+        return got
+
     def encode(self, word: bytes) -> list[int]:
-        """The tokens on the one path whose labels spell the word.
-
-        Longest labels are tried first. A prefix of the word has one path too, so a position from
-        which the end could not be reached is never entered again.
-        """
-        whole = self.prefixes.get(word, -1)
-        if whole >= 0:
-            return [whole]
-        n, at, now = len(word), 0, START
-        prefixes, table, arc = self.prefixes.get, self.table, self.arc
-        path: list[tuple[int, int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        options: list[tuple[int, int]] | None = None
-        ends: list[int] = []
-        while at < n:
-            if options is None:
-                options = []
-                for j in range(at + 1, n + 1):
-                    token = prefixes(word[at:j])
-                    if token is None:
-                        break
-                    if token >= 0:
-                        options.append((token, j))
-            while options:
-                token, j = options.pop()
-                known = table.get((now + 1) << 20 | token)
-                if j not in dead and (arc(now, token) if known is None else known):
-                    path.append((at, now, options))
-                    ends.append(token)
-                    at, now, options = j, token, None
-                    break
-            else:
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte of the word")
-                dead.add(at)
-                at, now, options = path.pop()
-                ends.pop()
-        return ends
+        """The tokens on the one path whose labels spell the word."""
+        if len(self.table) >= TRANSITIONS:
+            self._empty()
+        known, state, last = self.table.get, 0, []
+        for byte in word:
+            state, token = known(state << 8 | byte) or self.transition(state, byte)
+            last.append(token)
+        at, ids, size = len(last), [], self.size
+        while at:
+            token = last[at - 1]
+            ids.append(token)
+            at -= size[token]
+        ids.reverse()
+        return ids
+
+
+def _checked(j: dict) -> dict:
+    """The definition, if it asks for nothing but what is done here."""
+    split, model = j.get("pre_tokenizer") or {}, j["model"]
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    merged = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = not any(t.get(k) for t in j.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    if not (plain and merged and added and j.get("normalizer") is None and (j.get("decoder") or {}).get("type") == "ByteLevel"):
+        raise ValueError("not a byte-level BPE definition with the plain split pattern")
+    return j
 
 
 class Codec:
     """Texts to ids (packed as little-endian unsigned 32-bit integers) and back."""
 
     def __init__(self, definition: str) -> None:
-        j = json.loads(definition)
+        j = _checked(json.loads(definition))
         vocabulary = j["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in j["model"]["merges"]]
         self.automaton = MergeAutomaton(vocabulary, merges)
@@ -250,5 +281,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             texts.append(hashlib.sha256(c.decode(packed).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    chosen = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.col("text"))
     return _map(chosen, path, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)
