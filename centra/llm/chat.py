@@ -4,7 +4,9 @@ A record's layout is told by its schema fingerprint: a hash of the nested paths
 that carry no text (METADATA). The fingerprint selects one of the declared mappings (LAYOUTS), which says where
 roles and texts stand. A table with a schema has one fingerprint (`canonical`); a column of JSON records has one
 a record, from the fields that the record has (`canonical_json`). An unknown fingerprint is an error in a
-table, and null turns in a JSON record.
+table. A JSON record gets null turns if its fingerprint is unknown, if it is no JSON or nested beyond Python's recursion, if a message is no
+object, if a text is a list or an object, or if one of several messages that have places has none, or no whole number; half a surrogate
+pair in it becomes U+FFFD.
 
 The template marks turns with control strings. Where a text holds one, a backslash is put after its first
 character; where it already holds one with backslashes there, one more. Reading back takes one away, so
@@ -14,7 +16,7 @@ formatted text: each assistant's text, without its marks.
 A conversation is one row, like a document: its turns are gathered by its id, in the order of the turn.
 
 Cases: a null text or role counts as an empty one. Turns with the same number are ordered by role, then text;
-repeated rows are repeated turns. Rows without a conv_id form one conversation. Empty texts have empty spans. An
+repeated rows are repeated turns. Rows without a conv_id, or with one that is no number, form one conversation. Empty texts have empty spans. An
 empty table gives an empty result. Other columns are ignored.
 """
 
@@ -137,28 +139,56 @@ def merged(turns: Column) -> Column:
     )
 
 
-def record_turns(record: str | None) -> list[tuple[str, str]] | None:
-    """Canonical turns of one JSON record; None if its layout is unknown."""
-    try:
-        value = json.loads(record or "")
-    except ValueError:
-        return None
-    layout = MAPPINGS.get(fingerprint(record_paths(value)))
-    if layout is None:
-        return None
+def _text(value: object) -> str:
+    """A field as text: nothing for null, JSON's spelling for numbers and truth values; half a surrogate pair becomes U+FFFD. Lists and objects are no text."""
+    if value is None:
+        return ""
+    if isinstance(value, list | dict):
+        raise ValueError("no text")
+    text = value if isinstance(value, str) else json.dumps(value)
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _read(record: str | None) -> tuple[str, list[tuple[str, str]]]:
+    """The fingerprint and turns of one JSON record; an error if its layout is unknown or it does not keep to it."""
+    value = json.loads(record or "")
+    found = fingerprint(record_paths(value))
+    layout = MAPPINGS.get(found)
+    if layout is None or not isinstance(value, dict):
+        raise ValueError("unknown layout")
     if layout.messages:
         at, role, text, order = layout.messages
-        listed = sorted(value[at], key=lambda m: m.get(order)) if order else value[at]
+        listed = value[at]
+        if not isinstance(listed, list) or not all(isinstance(m, dict) for m in listed):
+            raise ValueError("messages must be objects in a list")
+        if order:
+            places = [m.get(order) for m in listed]
+            if not all(isinstance(p, int) and not isinstance(p, bool) for p in places):
+                raise ValueError("every message needs a whole number for its place")
+            listed = sorted(listed, key=lambda m: (m[order], _text(m.get(role)), _text(m.get(text))))
         known = {} if role == "role" else ROLES
-        return [(known.get(str(m.get(role) or "").lower(), str(m.get(role) or "")), str(m.get(text) or "")) for m in listed]
+        return found, [(known.get(_text(m.get(role)).lower(), _text(m.get(role))), _text(m.get(text))) for m in listed]
     turns: list[tuple[str, str]] = []
     for field, role in layout.fields:
         if value.get(field) is not None:
             if turns and turns[-1][0] == role:
-                turns[-1] = role, f"{turns[-1][1]}\n\n{value[field]}"
+                turns[-1] = role, f"{turns[-1][1]}\n\n{_text(value[field])}"
             else:
-                turns.append((role, str(value[field])))
-    return turns
+                turns.append((role, _text(value[field])))
+    return found, turns
+
+
+def record_layout(record: str | None) -> tuple[str, list[tuple[str, str]]] | None:
+    """Fingerprint and canonical turns of one JSON record; None if it is no JSON, too deeply nested, of an unknown layout, or does not keep to its layout."""
+    try:
+        return _read(record)
+    except (ValueError, RecursionError):
+        return None
+
+
+def record_turns(record: str | None) -> list[tuple[str, str]] | None:
+    got = record_layout(record)
+    return None if got is None else got[1]
 
 
 def canonical_json(records: DataFrame, column: str, key: str = "conv_id") -> DataFrame:
@@ -169,9 +199,9 @@ def canonical_json(records: DataFrame, column: str, key: str = "conv_id") -> Dat
         for b in batches:
             marks, turns = [], []
             for r in b.column(1).to_pylist():
-                got = record_turns(r)
-                turns.append(None if got is None else [{"role": x, "text": t} for x, t in got])
-                marks.append(None if got is None else fingerprint(record_paths(json.loads(r))))
+                got = record_layout(r)
+                turns.append(None if got is None else [{"role": x, "text": t} for x, t in got[1]])
+                marks.append(None if got is None else got[0])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.string()), pa.array(turns, kind)], [key, "layout", "turns"])
 
     return records.select(F.col(key), F.col(column).cast("string")).mapInArrow(run, f"`{key}` {records.schema[key].dataType.simpleString()}, layout string, turns {TURNS}")
@@ -238,7 +268,7 @@ def format_turns(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
 
 def gather(rows: DataFrame) -> DataFrame:
     """Rows of one turn each (conv_id, turn, role, text) to records with their turns in a list."""
-    return rows.groupBy(F.col("conv_id").cast("bigint").alias("conv_id")).agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    return rows.groupBy(F.expr("try_cast(conv_id AS bigint)").alias("conv_id")).agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -45,4 +45,26 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM base JOIN v ON base.source IS NOT DISTINCT FROM v.source
 """
 
-SQL = {"op1_decontaminate": OP1, "op6_line_dedup": OP6, "op9_quality_rules": OP9}
+OP4 = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+often AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win JOIN often USING (g)),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP5 = r"""
+WITH c AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(<SYS>>|</SYS>>|/INST\]|/ROLE\]|INST\]|ROLE\]|/s>|s>)', '\1\\\2\3', 'g')) AS body,
+             length(regexp_replace(role, '([<\[])(\\*)(<SYS>>|</SYS>>|/INST\]|/ROLE\]|INST\]|ROLE\]|/s>|s>)', '\1\\\2\3', 'g')) AS named FROM c),
+m AS (SELECT *, CASE role WHEN 'user' THEN length('<s>[INST]  [/INST]') WHEN 'assistant' THEN length('  </s>') WHEN 'system' THEN length('<<SYS>><</SYS>>') + 4 ELSE length('[ROLE][/ROLE][/ROLE]') + 2 + named END AS marks FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(body + marks)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+SQL = {"op1_decontaminate": OP1, "op4_substring_dedup": OP4, "op5_chat": OP5, "op6_line_dedup": OP6, "op9_quality_rules": OP9}
