@@ -13,7 +13,7 @@ several passes that each broadcast a part, and what a pass finds is written out
 Cases: a null text has no words, as an item or as a document; such a document is returned with zeros.
 Equal items each count. Items
 without an id count for n_hit, contaminated, removal and spans, but not for n_items and items_sha256: they have no id to list. An empty benchmark gives zeros, an empty table of documents an empty result.
-Other columns are ignored by `hits`; `spans` and `remove` keep those of the documents.
+A doc_id or item_id that is no number counts as none. Other columns are ignored by `hits`; `spans` and `remove` keep those of the documents.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def _matchers(shared) -> Matchers:
 
 def _parts(benchmark: DataFrame) -> list[DataFrame]:
     """The items, in parts of about BYTES at most."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.expr("try_cast(item_id AS bigint)").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // BYTES))
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
@@ -140,7 +140,7 @@ FOUND = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("item
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     parts = _parts(benchmark)
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    chosen = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.col("text"))
     if len(parts) == 1:
         shared = _items(parts[0])
 

@@ -7,13 +7,14 @@ text, with a penalty for each switch, then labels spans; a text's language is th
 its letters, and the score is the share of its letters.
 
 The model is fitted to at most MAX_DOCS documents (those with the smallest hash of their id), whole texts;
-n-grams are counted in a table of fixed size, so the model does not grow with the corpus and is broadcast.
+n-grams are counted in a table of fixed size, so the model does not grow with the corpus and is broadcast: 1 MB a language
+(and 2 MB on the driver while it is fitted), for up to 32,767 languages.
 Prediction is one pass without a shuffle. Viterbi steps through all texts of a batch at once.
 
 Cases: a null text, and one without a letter, is `und` with score 0. If no row can be learned from, all are
 `und`. Texts in a script that no training text had get the most frequent language. Ties go to the language
-that sorts first. Repeated rows are labelled alike; an empty table gives an empty result. Other columns are
-ignored.
+that sorts first. Repeated rows are labelled alike; an empty table gives an empty result. A doc_id that is no number is null in
+the result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,16 +136,16 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np
     """The best label of every word; `sizes` are the words of each text, whose rows follow each other."""
     n, k = scores.shape
     if k <= 1 or not n:
-        return np.zeros(n, "i1")
+        return np.zeros(n, "i2")
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     order = np.argsort(-sizes, kind="stable")
     sizes, offsets = sizes[order], offsets[order]
     # Texts still running at each step: they come first, longest first.
     active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
-    back = np.zeros((n, k), "i1")
-    own = np.arange(k, dtype="i1")
+    back = np.zeros((n, k), "i2")
+    own = np.arange(k, dtype="i2")
     best = scores[offsets[: active[0]]].copy()
-    ended = np.zeros(len(sizes), "i1")
+    ended = np.zeros(len(sizes), "i2")
     for t in range(1, len(active)):
         a = active[t]
         if a < len(best):
@@ -154,10 +155,10 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np
         other = best[np.arange(a), top][:, None] - switch
         moved = other > best
         rows = offsets[:a] + t
-        back[rows] = np.where(moved, top[:, None].astype("i1"), own)
+        back[rows] = np.where(moved, top[:, None].astype("i2"), own)
         best = np.where(moved, other, best) + scores[rows]
     ended[: len(best)] = best.argmax(1)
-    labels = np.zeros(n, "i1")
+    labels = np.zeros(n, "i2")
     now = ended.astype("i8")
     for t in range(len(active) - 1, -1, -1):
         a = active[t]
@@ -194,7 +195,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     shares[begin + i] = letters[i, top[i]] / total[i]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.expr(f"try_cast(`{key}` AS bigint)").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,4 +217,4 @@ def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                         own.append({"start": s, "end": s + n, "lang": name})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(column, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, spans array<struct<start:bigint,end:bigint,lang:string>>")
+    return docs.select(F.expr(f"try_cast(`{key}` AS bigint)").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, spans array<struct<start:bigint,end:bigint,lang:string>>")

@@ -17,8 +17,8 @@ lines go from all of them, so that only blank lines of that text are left in the
 
 Cases: a null text stays null and has no lines, but its page counts for the host. An empty text has one
 blank line. Pages without a host (null) form one group. A line repeated in a page counts once for the
-page and is dropped each time. Repeated rows count each. An empty table gives an empty result. Other
-columns are kept, whatever their names.
+page and is dropped each time. Repeated rows count each. An empty table gives an empty result. A doc_id
+that is no number is null in the report. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from centra.llm.shared import SPACE
+from centra.llm.shared import SPACE, cut
 
 RATIO, MIN_PAGES = 0.08, 3
 BROADCAST = 1_000_000
@@ -52,7 +52,8 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min
 
 def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, removed: str | None = None) -> DataFrame:
     """The documents without their hosts' boilerplate lines; `removed`, if named, gets the number of lines dropped."""
-    drop = boilerplate(docs, host, text, ratio, min_pages).groupBy("host_").agg(F.collect_set("hash_").alias("drop__"), F.count("*").alias("n__"))
+    # Written once, as its size decides how it is joined.
+    drop = cut(boilerplate(docs, host, text, ratio, min_pages).groupBy("host_").agg(F.collect_set("hash_").alias("drop__"), F.count("*").alias("n__")))
     names = docs.columns
     drop = drop.withColumnRenamed("host_", "host__")
     n = drop.agg(F.sum("n__")).first()[0] or 0
@@ -68,5 +69,5 @@ def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text_sha256 of what is left (null for a null text)."""
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines("text"))).cast("bigint")
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source"), F.col("text"), lines.alias("n_lines"))
+    chosen = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.col("source"), F.col("text"), lines.alias("n_lines"))
     return dedup_lines(chosen, removed="n_removed").select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))

@@ -11,7 +11,7 @@ texts. The model is a few hundred KB and is broadcast; scoring is one pass witho
 
 Cases: a null text is scored like an empty one, whose statistics are all zero. Null labels are left out.
 With no labelled row every score is 0.5; with labels of one kind, that label. Repeated rows are scored
-alike. An empty table gives an empty result. Columns of the documents other than id and text are never read.
+alike; a doc_id that is no number is null in the result and has no label. An empty table gives an empty result. Columns of the documents other than id and text are never read.
 """
 
 from __future__ import annotations
@@ -135,9 +135,9 @@ def _solve(sums: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, max_labels: int = MAX_LABELS) -> Model:
     """Learns the column quality of `labels` from documents for which `learn_from`, on doc_id, holds."""
-    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learn_from).groupBy(F.col("doc_id").cast("bigint").alias("id_")).agg(F.max("quality").cast("double").alias("y_"))
+    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learn_from).groupBy(F.expr("try_cast(doc_id AS bigint)").alias("id_")).agg(F.max("quality").cast("double").alias("y_"))
     # At most max_labels rows of 16 bytes.
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample_of(chosen, "id_", max_labels)), F.col("doc_id") == F.col("id_"))
+    rows = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), "text").join(F.broadcast(sample_of(chosen, "id_", max_labels)), F.col("doc_id") == F.col("id_"))
     fold = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(FOLDS))).cast("int").alias("fold")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,5 +212,5 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
+    chosen = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
     return chosen.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -13,7 +13,7 @@ the measures, some 60 bytes a document, are kept for the second pass; hosts are
 
 Cases: a null text has no words, measures 0 and fails; so do empty texts. Documents without a host (null)
 form one group. Repeated rows are judged alike and each returned. An empty table gives an empty result.
-Other columns are ignored.
+A doc_id that is no number is null in the result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, the measures, base_failed, kept, host_rate."""
-    chosen = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host_"), F.col(text).alias("text_"))
+    chosen = docs.select(F.expr(f"try_cast(`{key}` AS bigint)").alias("doc_id"), F.col(host).cast("string").alias("host_"), F.col(text).alias("text_"))
     measured = cut(measures(chosen, "text_", ("doc_id", "host_")))
     verdicts = host_verdicts(measured, "host_")
     joined = measured.join(verdicts, measured["host_"].eqNullSafe(verdicts["host"]), "left")

@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out accuracy, on small tables with every odd case."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -11,7 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from centra.llm import bpe, chat, decontaminate, graph, language, line_dedup, pii, quality, quality_rules, queries, simhash, sql, substring_dedup
+from centra.llm import bpe, chat
+from centra.llm import codepoints as cp
+from centra.llm import decontaminate, graph, language, line_dedup, pii, quality, quality_rules, queries, simhash, sql, substring_dedup
 from centra.llm.shared import bucket_of, sample_of
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, words string, h_ int, node bigint, host_ string"
@@ -86,6 +89,28 @@ def test_a_word_of_over_16_mb():
     assert len(ids) == len(word) and ids[-2:] == [0, 1] and not any(ids[:-1])
 
 
+def test_transitions_are_a_table(codec):
+    """Every byte is one look-up, the table is emptied without a change of results, and states of one kind are shared."""
+    a = codec.automaton
+    words = [b" the", b" theorem", b"xqzj", " wörld".encode(), b"a" * 300]
+    first = [a.encode(w) for w in words]
+    size = len(a.table)
+    assert [a.encode(w) for w in words] == first and len(a.table) == size
+    a._empty()
+    assert [a.encode(w) for w in words] == first and [b"".join(a.label[t] for t in ids) for ids in first] == words
+    small = bpe.MergeAutomaton({"a": 0, "b": 1}, [])
+    small.encode(b"ab" * 1000)
+    assert len(small.table) <= 6
+
+
+def test_other_tokenizer_files_are_refused():
+    definition = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "decoder": {"type": "ByteLevel"}, "normalizer": None, "added_tokens": []}
+    bpe.Codec(json.dumps(definition))
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True}), ("pre_tokenizer", None), ("decoder", None), ("added_tokens", [{"content": "x", "id": 1, "lstrip": True}]), ("model", {"type": "BPE", "ignore_merges": True})):
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps(definition | {key: value}))
+
+
 # 1
 
 
@@ -169,6 +194,70 @@ def test_viterbi_equals_brute_force():
         at += n
 
 
+def test_more_languages_than_a_byte_holds():
+    rng = np.random.default_rng(1)
+    scores = rng.normal(size=(40, 300))
+    scores[np.arange(40), np.repeat(np.arange(250, 290), 1)] += 100
+    assert language.viterbi(scores, np.array([40])).tolist() == list(range(250, 290))
+
+
+def brute_language(model, text):
+    """The same model by scalar steps: scores of each word by its letters, all paths by a plain recursion over words."""
+    lower, script, shift = cp.lower(), cp.scripts(), 64 - language.BITS
+    mul = lambda x, k: ((x * k) & (1 << 64) - 1) >> shift
+    words, at = [], []
+    for i, c in enumerate((text or "") + " "):
+        if lower[ord(c)]:
+            at.append(i)
+        elif at:
+            words.append([text[j] for j in at])
+            at = []
+    best, back = None, []
+    for w in words:
+        letters = [0, *(int(lower[ord(c)]) for c in w), 0]
+        total = np.zeros(len(model.languages))
+        for i in range(1, len(letters)):
+            a, b, c = letters[i], letters[i - 1], letters[i - 2] if i > 1 else 0
+            if a:
+                total += model.grams[mul(a, 0x9E3779B97F4A7C15)]
+            total += model.grams[mul(a + (b << 21) + (1 << 61), 0xC2B2AE3D27D4EB4F)] + model.grams[mul(a + (b << 21) + (c << 42) + (1 << 63), 0x165667B19E3779F9)]
+        own = total / (3 * len(w) + 2) * min(len(w), 8) + model.allowed[script[ord(w[0])]]
+        if best is None:
+            best = own
+        else:
+            moves = best[:, None] - language.SWITCH * (1 - np.eye(len(best)))
+            back.append(moves.argmax(0))
+            best = moves.max(0) + own
+    if best is None:
+        return "und", 0.0
+    path = [int(best.argmax())]
+    for step in reversed(back):
+        path.append(int(step[path[-1]]))
+    letters = np.bincount(path[::-1], weights=[len(w) for w in words], minlength=len(model.languages))
+    return model.languages[int(letters.argmax())], float(letters.max() / letters.sum())
+
+
+def test_language_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs, bucket_of("doc_id", 4) != 2)
+    mixed = spark.createDataFrame([(-1, "the house is где дом 日本 and"), (-2, None), (-3, "éé ÀB x"), (-4, "...")], "doc_id bigint, text string")
+    texts = docs.select("doc_id", "text").unionAll(mixed)
+    got = by_id(language.predict(texts, model))
+    for r in texts.collect():
+        want = brute_language(model, r.text)
+        assert got[r.doc_id][0] == want[0] and abs(got[r.doc_id][1] - want[1]) < 1e-6, r.doc_id
+
+
+def test_held_out_language_and_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = queries.op2_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 150 and sum(r.lang_pred == r.lang for r in got) >= 0.98 * len(got)
+    marks = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    got = queries.op3_quality(spark, sf).join(marks, "doc_id").where("held_out").collect()
+    assert len(got) > 50 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+
+
 # 3
 
 
@@ -314,6 +403,31 @@ def test_chat_report(spark):
     assert chat.report(frame.limit(0)).count() == 0
 
 
+def test_malformed_records_have_null_turns(spark):
+    bad = [
+        '{"messages":["x"]}', '{"messages":{"role":"user","content":"a"}}', '{"turns":[{"turn":1,"role":"a","text":"b"},{"role":"a","text":"b"}]}', '{"turns":[{"turn":1,"role":"a","text":"b"},{"turn":"2","role":"a","text":"b"}]}',
+        "[" * 100_000, '{"a":' * 100_000, '{"messages":[{"role":"user","content":["x"]}]}', '{"prompt":{"a":1},"response":"x"}', "5", '"text"', "null", "{}", "", '{"prompt":["p"],"response":"r"}', '{"turns":[{"turn":true,"role":"a","text":"b"}]}',
+    ]
+    good = {'{"prompt":"\\ud800p","response":"r"}': [("user", "\ufffdp"), ("assistant", "r")], '{"messages":[{"role":"user","content":5}]}': [("user", "5")], '{"messages":[{"role":"user","content":"a"},{"role":null,"content":null}]}': [("user", "a"), ("", "")]}
+    rows = list(enumerate([*bad, *good]))
+    got = {r.conv_id: r for r in chat.canonical_json(spark.createDataFrame(rows, "conv_id int, j string"), "j").collect()}
+    assert all(got[i].turns is None and got[i].layout is None for i in range(len(bad)))
+    assert [[(t.role, t.text) for t in got[len(bad) + i].turns] for i in range(len(good))] == list(good.values())
+
+
+def test_chat_of_any_rows_reads_back(spark):
+    """The digests of the query from the rows alone, without the template."""
+    rng = random.Random(15)
+    pieces = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "\\", "<", "word ", "é", "\n", "[ROLE]"]
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, 0, 1, 2, 3]), rng.choice([None, "user", "assistant", "system", "tool"]), rng.choice([None, "", "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))])) for _ in range(200)]
+    got = by_id(chat.report(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for i in (None, 1, 2, 3, 4):
+        own = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == i))
+        loss = "".join(x for *_, r, x in own if r == "assistant")
+        assert got[i][:4] == (len(own), sha("".join(f"{r}\n{x}\n" for *_, r, x in own)), len(loss), sha(loss)), i
+
+
 def test_chat_layouts(spark):
     two = spark.createDataFrame([(1, "do", "x", "y"), (2, "do", None, "z")], "conv_id int, instruction string, input string, output string")
     assert [[(t.role, t.text) for t in r.turns] for r in chat.canonical(two).orderBy("conv_id").collect()] == [[("user", "do\n\nx"), ("assistant", "y")], [("user", "do"), ("assistant", "z")]]
@@ -410,6 +524,61 @@ def test_entities_are_replaced_to_their_end(spark):
     assert got[7][0] == 2 and "Frau" in got[7][1] and got[8][1].split()[1] == got[8][1].split()[4] + "'s" and len(got[9][1].split()) == 20001
 
 
+def test_patterns_survive_long_texts(spark):
+    """The worst of each pattern, far longer than a match can be."""
+    n = 50_000
+    texts = ["x@" + "a." * n, "a" * n + "@" + "b" * n, "+1" + " 234" * n, "(12) " * n, "1234-" * n, "1." * n, "a:" * n, "GB29" + " AB12" * n, "token=" + "aB3." * n, "Mr " + "A-b" * n, "Mr " + "O'Neil" * n, "Mr " + "A. " * n, "John " * n, "Dr " * n, "f" * n, "123-45-" * n, "王" * n + "先生", "my name is " * n]
+    docs = documents(spark, texts)
+    got = by_id(pii.report(docs))
+    assert len(got) == len(texts) and all(t for _, t in got.values()) and "aB3.aB3" not in got[8][1]
+
+
+FORMATS = {
+    "Dr. Jane Roe met John Smith; Smith left.": (2, ["Jane", "Roe", "John", "Smith"], r"Dr\. [A-Z]\w+na [A-Z]\w+ met [A-Z]\w+n ([A-Z]\w+); \1 left\."),
+    "السيد أحمد ذهب": (1, ["أحمد"], r"السيد \p{Arabic}{4} ذهب"),
+    "昨天王先生来了": (1, ["王"], r"昨天\p{Han}先生来了"),
+    "田中さんは": (1, ["田", "中"], r"\p{Han}{2}さんは"),
+    "김철수 씨 왔다": (1, ["김", "철", "수"], r"\p{Hangul}{3} 씨 왔다"),
+    "call 736-555-2678 or 555.123.4567 now": (2, ["736-", "4567"], r"call \d{3}-\d{3}-\d{4} or \d{3}\.\d{3}\.\d{4} now"),
+    "ssn 123-45-6789.": (1, ["6789"], r"ssn \d{3}-\d{2}-\d{4}\."),
+    "at 2001:db8:85a3::8a2e:370:7334!": (1, ["85a3"], r"at [0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}!"),
+    "my name is Ada Lovelace, ok": (1, ["Ada", "Lovelace"], r"my name is [A-Z]\w+ [A-Z]\w+, ok"),
+    "GB29 NWBK 6016 1331 9268 19 or DE89370400440532013000": (2, ["NWBK", "3704"], r"(GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) or (DE\d{20})"),
+    "at 12:30:45 std::dead::beef 10-20-30 v1.2.3 USA TODAY": (0, [], r"at 12:30:45 std::dead::beef 10-20-30 v1\.2\.3 USA TODAY"),
+}
+
+
+def test_formats_and_scripts_are_kept(spark):
+    regex = pytest.importorskip("regex")
+    got = by_id(pii.report(documents(spark, list(FORMATS))))
+    for i, (text, (n, gone, pattern)) in enumerate(FORMATS.items()):
+        assert got[i][0] == n and not any(x in got[i][1] for x in gone) and regex.fullmatch(pattern, got[i][1]), (text, got[i])
+    for account in regex.fullmatch(FORMATS["GB29 NWBK 6016 1331 9268 19 or DE89370400440532013000"][2], got[9][1]).groups():
+        plain = account.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_names_stay_distinct_in_a_small_space(spark, monkeypatch):
+    """64 surrogates for 300 names, some in several spellings and in rows without an id: all distinct, the same everywhere."""
+    monkeypatch.setattr(pii, "SYLLABLES", {k: (v[0][:2], v[1][:2], *v[2:]) for k, v in pii.SYLLABLES.items()})
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    names = ["".join("bcdfghjklm"[int(d)] + "aeiou"[int(d) % 5] for d in f"{i:03}").capitalize() for i in range(300)]
+    rows = [(None if i % 3 else i, f"Mr {x} and Mrs {x.upper()} spoke; {x} left") for i, x in enumerate(names)] + [(1000 + i, f"Saw Herr {x}.") for i, x in enumerate(names)]
+    got = [r.text for r in pii.report(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()]
+    first = [re.fullmatch(r"Mr (\S+) and Mrs (\S+) spoke; (\S+) left", t).groups() for t in got[:300]]
+    again = [re.fullmatch(r"Saw Herr (\S+)\.", t)[1] for t in got[300:]]
+    plain = [a.lower() for a, _, _ in first]
+    assert all(a.lower() == b.lower() == c.lower() for a, b, c in first) and [x.lower() for x in again] == plain
+    assert len(set(plain)) == 300 and not set(plain) & {x.lower() for x in names}
+    assert 300 - 64 <= sum(x.startswith("[name-") for x in plain) < 300
+
+
+def test_long_values_do_not_repeat_their_stream(spark):
+    digest = "0123456789abcdef" * 4
+    got = by_id(pii.report(documents(spark, [f"sum {digest} end"])))[0][1].split()[1]
+    assert len(got) == 64 and got[:32] != got[32:] and len({(int(a, 16) - int(b, 16)) % 16 for a, b in zip(got[:32], got[32:], strict=True)}) > 3
+
+
 # 8
 
 
@@ -520,7 +689,9 @@ def test_trie_finds_every_pair(monkeypatch, columns, budget, direct):
         assert {tuple(sorted(p)) for p in zip(back[u].tolist(), back[v].tolist(), strict=True)} == {(a, b) for a, b in close if label[a] != label[b]}
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components_of_chains_and_hubs(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(500, 500), (7, 3), (3, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     want = components({x for e in edges for x in e}, edges)
@@ -662,8 +833,12 @@ def test_sql_gives_the_same(spark, tmp_path, name):
     documents(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     items = [(1, " ".join((texts[4] or "").split()[:14])), (2, "one two three"), (3, None)]
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rng = random.Random(2)
+    said = ["", "a <s> b", "[INST] <<SYS>> \\", "<\\s>é", None, "</s>" * 5, "[ROLE]x[/ROLE]"]
+    turns = [(c, t, rng.choice(["user", "assistant", "system", "tool", "[/ROLE]"]), rng.choice(said)) for c in range(20) for t in range(rng.randint(1, 6))]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got = queries.queries()[name](spark, str(tmp_path))
     want = con.sql(sql.SQL[name])
