@@ -19,16 +19,27 @@ from centra.durable import cut
 from centra.functions.distance import Distance, named, nearest
 from centra.operators.points import lists, matrix
 from centra.operators.update import means
-from centra.plans.lloyd import Policy, Result, partitions, state_sums
+from centra.plans.lloyd import CUT_EVERY, Policy, Result, partitions, state_sums
 from centra.plans.runlog import RunLog
-from centra.plans.yinyang import CHECKPOINT, SLACK
+from centra.plans.yinyang import SLACK
 
 STATE = "id bigint, v array<double>, cid bigint, d double, moved boolean, calls bigint"
 
 
 def center_distances(centers: np.ndarray) -> np.ndarray:
     """k x k plain distances."""
-    return np.sqrt(((centers[:, None, :] - centers[None, :, :]) ** 2).sum(-1))
+    return np.concatenate([np.zeros((0, len(centers))), *(rows for _, rows in _blocks(centers))])
+
+
+#: Differences of coordinates of one block of centers.
+ENTRIES = 4_000_000
+
+
+def _blocks(centers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """First center and plain distances to all of a block of centers; differences, as a product could blur a bound."""
+    step = max(1, ENTRIES // max(1, centers.size))
+    for a in range(0, len(centers), step):
+        yield a, np.sqrt(((centers[a : a + step, None, :] - centers[None, :, :]) ** 2).sum(-1))
 
 
 def neighbors(between: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
@@ -41,6 +52,19 @@ def neighbors(between: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def near_centers(centers: np.ndarray, radius: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each center its neighbors, and their distances; all k x k distances are never held."""
+    near, far = [], []
+    for a, rows in _blocks(centers):
+        for i, row in enumerate(rows, a):
+            own = np.flatnonzero(row <= 2 * radius[i] * (1 + SLACK))
+            own = own[own != i]
+            own = own[np.argsort(row[own], kind="stable")]
+            near.append(own)
+            far.append(row[own])
+    return near, far
+
+
 def _batch(b: pa.RecordBatch, x: np.ndarray, best: np.ndarray, d: np.ndarray, moved: np.ndarray, calls: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column(0), lists(x), pa.array(best, pa.int64()), pa.array(d, pa.float64()), pa.array(moved, pa.bool_()), pa.array(calls, pa.int64())], ["id", "v", "cid", "d", "moved", "calls"])
 
@@ -73,7 +97,7 @@ def radii(state: DataFrame, centers: np.ndarray, found: Distance) -> np.ndarray:
     return out
 
 
-def step(state: DataFrame, centers: np.ndarray, near: list[np.ndarray], between: np.ndarray, still: np.ndarray, found: Distance) -> DataFrame:
+def step(state: DataFrame, centers: np.ndarray, near: list[np.ndarray], between: list[np.ndarray], still: np.ndarray, found: Distance) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, old = matrix(b.column(1), centers.shape[1]), b.column(2).to_numpy()
@@ -85,13 +109,13 @@ def step(state: DataFrame, centers: np.ndarray, near: list[np.ndarray], between:
                 rows = np.flatnonzero(old == i)
                 # Beyond half the distance to the nearest other center, some may be nearer; only the first few can.
                 own = np.sqrt(squared[rows])
-                reach = np.searchsorted(between[i][near[i]], 2 * own * (1 + SLACK) + 1e-300, side="right")
+                reach = np.searchsorted(between[i], 2 * own * (1 + SLACK) + 1e-300, side="right")
                 rows, reach = rows[reach > 0], reach[reach > 0]
                 if not len(rows):
                     continue
                 candidates = np.sort(np.append(near[i][: reach.max()], i))
                 best[rows], squared[rows] = _among(x[rows], centers, candidates, found)
-                calls[rows] += reach
+                calls[rows] += len(candidates)
             yield _batch(b, x, best, squared, best != old, calls)
 
     return state.select("id", "v", "cid").mapInArrow(run, STATE)
@@ -128,13 +152,13 @@ def ball(points: DataFrame, centers: np.ndarray, policy: Policy, distance: str |
             break
         t0 = perf_counter()
         now = seen(new)
-        between = center_distances(now)
-        previous, near = near, neighbors(between, radii(state, now, found))
+        previous = near
+        near, between = near_centers(now, radii(state, now, found))
         unmoved = (now == last).all(1)
         still = np.array([previous is not None and unmoved[j] and unmoved[near[j]].all() and np.array_equal(near[j], previous[j]) and got[j, d + 2] == 0 for j in range(k)])
         last = now
         following = step(state, now, near, between, still, found)
-        following = cut(following) if (i + 1) % CHECKPOINT == 0 else following.persist()
+        following = cut(following) if (i + 1) % CUT_EVERY == 0 else following.persist()
         following.count()
         state.unpersist()
         state = following

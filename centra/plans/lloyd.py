@@ -3,6 +3,9 @@
 An iteration is one job: every partition assigns its points to the broadcast centers and sums them by center; the
 driver gets k rows. Points are neither shuffled nor rewritten. The squared error after the update follows from the
 sums, so it takes no second pass.
+
+Only the rule that keeps a point at its center in a tie needs a state of the points: their frame is made anew from the last one, and written
+out every CUT_EVERY iterations. Nested any deeper, the plans of the frames take longer with every iteration, and a lost executor costs more of them.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from centra.durable import cut
 from centra.functions.distance import Distance, named, nearest
 from centra.operators import assign as assignment
 from centra.operators.points import lists, matrix, sums
@@ -23,6 +27,10 @@ from centra.operators.update import means
 from centra.plans.runlog import RunLog
 
 
+#: Iterations after which a state that travels with the points is written out.
+CUT_EVERY = 4
+
+
 @dataclass(frozen=True)
 class StopRule:
     """Movement of centers, summed or the greatest, squared or not, at most (or under) epsilon."""
@@ -134,11 +142,12 @@ def lloyd(points: DataFrame, centers: np.ndarray, start: DataFrame | None, polic
     if policy.keep_ties:
         begin = start if start is not None else points.select("id", F.pmod("id", F.lit(k)).cast("bigint").alias("cid"))
         state = held.join(begin.select("id", "cid"), "id").select("id", "v", "cid").persist()
-    for _ in range(max_iter):
+    for i in range(max_iter):
         t0 = perf_counter()
         used, moved = new, 0
         if state is not None:
-            step = keep_tie_step(state, used, found).persist()
+            step = keep_tie_step(state, used, found)
+            step = cut(step) if (i + 1) % CUT_EVERY == 0 else step.persist()
             got = state_sums(step, k, d, parts, "d", "moved")
             state.unpersist()
             state = step

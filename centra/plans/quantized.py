@@ -8,7 +8,7 @@ from time import perf_counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centra.functions.distance import Distance, named, nearest
@@ -57,6 +57,15 @@ def cartesian(points: DataFrame, k: int, policy: Policy, max_iter: int, epsilon:
     return Result(centers, joined.select("id", sum((F.col(f"c{j}") * base**j for j in range(1, blocks)), F.col("c0")).alias("cid")), log, [centers])
 
 
+def sides(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Whether each vector lies on each plane's positive side. By a matrix product; where its rounding, which depends on the batch, could hide the sign, by the sum of products."""
+    product = x @ planes.T
+    loss = 1e-12 * np.sqrt((x**2).sum(1))[:, None] * np.sqrt((planes**2).sum(1))[None, :]
+    i, j = np.nonzero(np.abs(product) <= loss)
+    product[i, j] = (x[i] * planes[j]).sum(-1)
+    return product > 0
+
+
 def lsh_codes(points: DataFrame, planes: np.ndarray) -> DataFrame:
     """id, v: the sign bits packed to bytes, as numbers."""
     d = planes.shape[1]
@@ -64,8 +73,7 @@ def lsh_codes(points: DataFrame, planes: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), d)
-            packed = np.packbits((x[:, None, :] * planes[None, :, :]).sum(-1) > 0, axis=1, bitorder="little") if len(x) * planes.size <= 50_000_000 else np.packbits(x @ planes.T > 0, axis=1, bitorder="little")
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(packed.astype("f8"))], ["id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(np.packbits(sides(x, planes), axis=1, bitorder="little").astype("f8"))], ["id", "v"])
 
     if len(planes) % 8:
         raise ValueError("the number of planes must be a multiple of 8")
@@ -76,7 +84,7 @@ def lsh_code(points: DataFrame, centers: np.ndarray, policy: Policy, max_iter: i
     """Clusters the byte codes; the centers are then means of the vectors themselves, and the measure is their mean squared error."""
     planes = lsh.hyperplanes(centers.shape[1], PLANES, seed) if planes is None else planes
     codes = lsh_codes(points, planes)
-    begin = np.packbits(centers @ planes.T > 0, axis=1, bitorder="little").astype("f8")
+    begin = np.packbits(sides(centers, planes), axis=1, bitorder="little").astype("f8")
     inner = RunLog(log.n, begin.shape[1], len(centers), "YinyangSimp", "", max_iter, epsilon)
     coded = yinyang(codes, begin, policy, "short", max_iter, epsilon, inner)
     log.start()
@@ -141,7 +149,7 @@ def pq_assign(coded: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def pq(points: DataFrame, centers: np.ndarray, policy: Policy, distance: str | Distance, max_iter: int, epsilon: float, log: RunLog, m: int = 16, kstar: int = 256, book: np.ndarray | None = None) -> Result:
-    """Assignment by codes, update by the vectors. The quantized error stands in the log's distance_calls, rounded to millionths."""
+    """Assignment by codes, update by the vectors. The quantized error has a column of its own in the log; distance_calls are look-ups in the table of codes."""
     found = named(distance)
     k, d = centers.shape
     log.start()
@@ -168,14 +176,8 @@ def pq(points: DataFrame, centers: np.ndarray, policy: Policy, distance: str | D
         history.append(new)
         movement = policy.stop.movement(new, used)
         real = got[:, d + 2].sum() - float((got[:, d, None] * (new - used) ** 2).sum())
-        log.add(t1 - t0, perf_counter() - t1, real / max(1, n), round(1e6 * got[:, d + 1].sum() / max(1, n)), 0, movement)
+        log.add(t1 - t0, perf_counter() - t1, real / max(1, n), n * k, 0, movement, quantized=got[:, d + 1].sum() / max(1, n))
         if policy.stop.stops(movement, epsilon):
             break
     log.end()
     return Result(new, pq_assign(coded, code_table(used, book, found)).select("id", "cid"), log, history)
-
-
-def pq_column(table: Column, code: Column) -> Column:
-    from centra.functions.distance import pq_distance
-
-    return pq_distance(table, code)

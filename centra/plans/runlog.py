@@ -24,6 +24,7 @@ class Iteration:
     movement_min: float = 0.0
     movement_mean: float = 0.0
     movement_max: float = 0.0
+    quantized_msse: float = 0.0
 
 
 @dataclass
@@ -47,9 +48,9 @@ class RunLog:
     def end(self) -> None:
         self.total_time = perf_counter() - self._began
 
-    def add(self, assign_time: float, update_time: float, msse: float, calls: int, reassigned: int, movement: np.ndarray, setup_time: float = 0.0) -> None:
+    def add(self, assign_time: float, update_time: float, msse: float, calls: int, reassigned: int, movement: np.ndarray, setup_time: float = 0.0, quantized: float = 0.0) -> None:
         m = movement if len(movement) else np.zeros(1)
-        self.iterations.append(Iteration(assign_time, update_time, setup_time, float(msse), int(calls), int(reassigned), float(m.min()), float(m.mean()), float(m.max())))
+        self.iterations.append(Iteration(assign_time, update_time, setup_time, float(msse), int(calls), int(reassigned), float(m.min()), float(m.mean()), float(m.max()), float(quantized)))
 
     def header(self) -> dict:
         total = lambda name: sum(getattr(i, name) for i in self.iterations)
@@ -63,7 +64,7 @@ class RunLog:
         return spark.createDataFrame([self.header()])
 
     def iteration_frame(self, spark: SparkSession) -> DataFrame:
-        kinds = "iteration int, assign_time double, update_time double, setup_time double, msse double, distance_calls bigint, center_reassignments bigint, movement_min double, movement_mean double, movement_max double"
+        kinds = "iteration int, assign_time double, update_time double, setup_time double, msse double, distance_calls bigint, center_reassignments bigint, movement_min double, movement_mean double, movement_max double, quantized_msse double"
         return spark.createDataFrame([(i, *asdict(x).values()) for i, x in enumerate(self.iterations)], kinds)
 
     def to_csv(self) -> str:

@@ -2,7 +2,7 @@
 
 A point's state is its center, an upper bound to it and a lower bound to the other centers of each group of
 centers. Bounds are plain distances (the triangle inequality needs the root). The state travels with the point in
-a persisted frame; every CHECKPOINT iterations it is written out, so a lost executor costs a few iterations.
+a persisted frame; every CUT_EVERY iterations it is written out, so a lost executor costs a few iterations.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ from centra.durable import cut
 from centra.functions.distance import Distance, named, nearest
 from centra.operators.points import lists, matrix
 from centra.operators.update import means
-from centra.plans.lloyd import Policy, Result, lloyd_matrix, partitions, state_sums
+from centra.plans.lloyd import CUT_EVERY, Policy, Result, lloyd_matrix, partitions, state_sums
 from centra.plans.runlog import RunLog
 
-CHECKPOINT = 10
 #: A bound is only trusted beyond this share, so that rounding never hides a tie.
 SLACK = 1e-9
 STATE = "id bigint, v array<double>, cid bigint, ub double, lb array<double>, moved boolean, calls bigint, sq double"
@@ -70,17 +69,18 @@ def filtered(x: np.ndarray, best: np.ndarray, ub: np.ndarray, lb: np.ndarray, ce
         rows, members = np.flatnonzero(need[:, g]), np.flatnonzero(groups == g)
         if not len(rows):
             continue
-        table = np.sqrt(np.maximum(found.table(x[rows], centers[members]), 0))
         if local:
             # A center that cannot have come nearer than the point's own distance is not looked at; its bound stands in.
             floor = before[rows, g][:, None] - delta[members][None, :]
             skip = (floor > ub[rows][:, None] * (1 + SLACK)) & (members[None, :] != old[rows][:, None])
             stand_in[rows, g] = np.where(skip, floor, np.inf).min(1)
-            table[skip] = np.inf
-            calls[rows] += (~skip).sum(1)
+            for j, member in enumerate(members.tolist()):
+                seen = rows[~skip[:, j]]
+                scanned[seen, member] = np.sqrt(np.maximum(found.table(x[seen], centers[member : member + 1])[:, 0], 0))
+                calls[seen] += 1
         else:
+            scanned[np.ix_(rows, members)] = np.sqrt(np.maximum(found.table(x[rows], centers[members]), 0))
             calls[rows] += len(members)
-        scanned[np.ix_(rows, members)] = table
     scanned[np.arange(n), old] = own
     top = scanned.argmin(1)
     least = scanned[np.arange(n), top]
@@ -166,7 +166,7 @@ def yinyang(points: DataFrame, centers: np.ndarray, policy: Policy, distance: st
             break
         t0 = perf_counter()
         following = step(state, new, np.sqrt(((new - old) ** 2).sum(1)), groups, found, local)
-        following = cut(following) if (i + 1) % CHECKPOINT == 0 else following.persist()
+        following = cut(following) if (i + 1) % CUT_EVERY == 0 else following.persist()
         following.count()
         state.unpersist()
         state = following
