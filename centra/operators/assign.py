@@ -50,6 +50,18 @@ def assign(points: DataFrame, centers: np.ndarray, distance: str | Distance = "E
     return points.select("id", "v").mapInArrow(run, "id bigint, cid bigint, d double")
 
 
+def assigned(points: DataFrame, centers: np.ndarray, distance: str | Distance = "Euclidean") -> DataFrame:
+    """id, v, cid, d, by blocks of NumPy; also of a stream."""
+    found = named(distance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best, d = nearest(matrix(b.column(1), centers.shape[1]), centers, found)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.int64()), pa.array(d, pa.float64())], ["id", "v", "cid", "d"])
+
+    return points.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "id bigint, v array<double>, cid bigint, d double")
+
+
 def top2_by_group(points: DataFrame, centers: np.ndarray, groups: list[int], distance: str | Distance = "Euclidean") -> DataFrame:
     """id, group_id, place (1 and 2), cid, d: the two nearest centers of each group."""
     of = F.array(*[F.lit(g).cast("bigint") for g in groups])

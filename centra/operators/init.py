@@ -6,17 +6,17 @@ repeat them. Ids are 0 to n - 1.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from centra.functions.distance import Distance, l2, named
+from centra.functions.distance import Distance, named, nearest
 from centra.operators import assign as assignment
 from centra.operators import lsh
-from centra.operators.points import first_k
+from centra.operators.points import first_k, matrix
 from centra.operators.update import group_mean, mean_matrix
 
 Start = tuple[np.ndarray, DataFrame]
@@ -68,7 +68,7 @@ def uniforms(k: int, seed: int) -> list[float]:
 def scan_pick(weighted: DataFrame, u: float, total: float | None = None) -> int:
     """The largest id whose exclusive prefix sum of w, by id, is at most u times the sum of all.
 
-    Sums of ranges of ids come first (one row a range reaches the driver), then the prefix within the one range
+    Sums of ranges of SCAN ids come first (one row a range reaches the driver), then the rows of the one range
     that holds the position, so no task scans all points in order.
     """
     ranges = weighted.groupBy(F.floor(F.col("id") / SCAN).cast("bigint").alias("part")).agg(F.sum("w").alias("w")).orderBy("part").collect()
@@ -78,45 +78,55 @@ def scan_pick(weighted: DataFrame, u: float, total: float | None = None) -> int:
         if before <= position:
             part, start = r[0], before
         before += r[1]
-    own = weighted.where((F.col("id") >= part * SCAN) & (F.col("id") < (part + 1) * SCAN))
-    excl = F.sum("w").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    return own.select("id", (F.coalesce(excl, F.lit(0.0)) + F.lit(start)).alias("excl")).where(F.col("excl") <= position).agg(F.max("id")).first()[0]
+    own = weighted.where((F.col("id") >= part * SCAN) & (F.col("id") < (part + 1) * SCAN)).select("id", "w").toArrow()
+    ids, w = own["id"].to_numpy(), own["w"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    excl = start + np.concatenate([np.zeros(1), np.cumsum(w[order])[:-1]])
+    return int(ids[order][excl <= position][-1])
 
 
 #: Ids in a range of `scan_pick`.
-SCAN = 100_000
+SCAN = 20_000
+
+
+def weights(points: DataFrame, centers: np.ndarray, distance: Distance, known: bool = False) -> DataFrame:
+    """id, v, w: the distance to the nearest center, or the known w if that is less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = nearest(matrix(b.column(1), centers.shape[1]), centers, distance)[1]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.minimum(w, b.column(2).to_numpy()) if known else w, pa.float64())], ["id", "v", "w"])
+
+    return points.select("id", "v", *(["w"] if known else [])).mapInArrow(run, "id bigint, v array<double>, w double")
 
 
 def kmeans_plus_plus(points: DataFrame, k: int, distance: str | Distance = "Euclidean", seed: int = 0, draws: list[float] | None = None) -> Start:
-    """D2 sampling, one center after another; w is carried along, so a round compares each point with one new center."""
+    """D2 sampling, one center after another.
+
+    A round compares each point with the centers since the last REBUILD rounds, which are sent to the tasks as a matrix, and with the
+    weight kept from before. That frame is computed from the points and all centers so far every time, so no plan grows with k.
+    """
     draws = draws or uniforms(k, seed)
-    n = points.count()
-    at = min(n - 1, int(draws[0] * n))
-    chosen = [at]
+    n, metric = points.count(), named("Euclidean")
     vector = lambda i: points.where(F.col("id") == i).select("v").first()[0]
-    centers = [vector(at)]
-    weighted = points.select("id", "v", l2(F.col("v"), _row(centers[0])).alias("w")).persist()
+    centers = [vector(min(n - 1, int(draws[0] * n)))]
+    kept = weights(points, np.array(centers, "f8"), metric).persist()
+    since = 1
     for u in draws[1:k]:
-        at = scan_pick(weighted.select("id", "w"), u)
-        chosen.append(at)
-        centers.append(vector(at))
-        # From the points again, not from the last frame: the plan stays one step deep, over all centers so far.
-        again = points.select("id", "v", F.array_min(F.transform(F.array(*[_row(c) for c in centers]), lambda c: l2(F.col("v"), c))).alias("w")) if len(centers) % REBUILD == 0 else weighted.withColumn("w", F.least("w", l2(F.col("v"), _row(centers[-1]))))
-        again = again.persist()
-        again.count()
-        weighted.unpersist()
-        weighted = again
-    weighted.unpersist()
+        own = kept if len(centers) == since else weights(kept, np.array(centers[since:], "f8"), metric, True)
+        centers.append(vector(scan_pick(own.select("id", "w"), u)))
+        if len(centers) - since >= REBUILD:
+            again = weights(points, np.array(centers, "f8"), metric).persist()
+            again.count()
+            kept.unpersist()
+            kept, since = again, len(centers)
+    kept.unpersist()
     found = np.array(centers, "f8")
     return found, assignment.assign(points, found, distance).select("id", "cid")
 
 
-#: Rounds after which the weights are computed from the points again, which ends the growth of their lineage.
-REBUILD = 16
-
-
-def _row(vector: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
+#: Rounds after which the weights are computed from the points again.
+REBUILD = 32
 
 
 def lsh_chunks(points: DataFrame, k: int, distance: str | Distance = "Euclidean", seed: int = 0, planes: np.ndarray | None = None, exact: bool = True) -> Start:
