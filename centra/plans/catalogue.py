@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import os
 from collections.abc import Callable
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from centra.durable import folder
 from centra.functions import distance as dist
 from centra.operators import assign, init, lsh, primitives, update
-from centra.operators.points import cells, centers_frame, first_k, from_columns, from_embeddings, literal
+from centra.operators.points import cells, first_k, from_columns, from_embeddings, literal
 from centra.plans import oracle as sql
 from centra.plans import quantized, report
 from centra.plans.ball import center_distances, neighbors, radii
@@ -18,6 +22,7 @@ from centra.plans.lloyd import Result
 from centra.plans.runlog import RunLog
 from centra.plans.runners import POLICIES, cluster
 from centra.plans.yinyang import begin, drift, group_centers
+from centra.sources import record_files, vector_files
 
 K, ITERATIONS, D = 10, 5, 64
 DRAWS = [0.37, 0.61, 0.12, 0.83, 0.45]
@@ -545,7 +550,7 @@ def pq_assign_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.query([*_PQ, "own AS (SELECT p.id, p.v, pa.cid, pa.d FROM p JOIN pa USING (id))", sql.mean("m", "own", "c0")], f"SELECT round(avg({sql.d2('own.v', 'm.c')}), 6) AS msse, round(avg(own.d), 6) AS quantized_msse FROM own JOIN m USING (cid)"))
 def pq_msse(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _run(spark, sf_dir, "PQ", 1, m=M, kstar=KSTAR).iteration_log
-    return log.select(_r("msse").alias("msse"), _r(F.col("distance_calls") / 1e6).alias("quantized_msse"))
+    return log.select(_r("msse").alias("msse"), _r("quantized_msse").alias("quantized_msse"))
 
 
 _ROTATED = [sql.planes("r", ROTATION), f"y AS MATERIALIZED (SELECT id, list(x ORDER BY i) AS v FROM (SELECT id, i, {sql.dot('w', 'v')} AS x FROM p, r) GROUP BY id)"]
@@ -603,7 +608,75 @@ def log_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.fits(_logs(spark))
 
 
-@query(None)
+@query(sql.query([sql.first_k(K)], sql.cells("c0")))
 def centers_of_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first-k centers as a table of arrays; rows only, as the result holds arrays."""
-    return centers_frame(spark, first_k(_points(spark, sf_dir), K))
+    """The first-k centers as a table, cell by cell."""
+    return cells(spark, first_k(_points(spark, sf_dir), K))
+
+
+# Sources: a table written to a file and read back.
+
+_CELLS = "SELECT id, pos - 1 AS pos, {} AS value FROM (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)"
+
+
+def _file(spark: SparkSession, suffix: str) -> str:
+    """A new path in the folder that all executors share."""
+    at = f"{folder(spark).removeprefix('file://').removeprefix('file:')}/files"
+    os.makedirs(at, exist_ok=True)
+    return f"{at}/{uuid4().hex}{suffix}"
+
+
+def _unnested(points: DataFrame) -> DataFrame:
+    return points.select("id", F.posexplode("v").alias("pos", "value")).select("id", "pos", _r("value").alias("value"))
+
+
+def _written(kind: str, suffix: str, scale):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _file(spark, suffix)
+        vector_files.write_bin(_points(spark, sf_dir).select("id", F.transform("v", scale).alias("v")), path, kind)
+        return _unnested(vector_files.read_vectors(spark, path))
+
+    return run
+
+
+for _name, _kind, _suffix, _scale, _text in (
+    ("source_fbin", "float", ".fbin", lambda x: x, "round(x, 6)"),
+    ("source_u8bin", "uint8", ".u8bin", lambda x: (x + 1) * 127, "trunc((x + 1) * 127)"),
+    ("source_i8bin", "int8", ".i8bin", lambda x: x * 127, "trunc(x * 127)"),
+):
+    _SQL[_name] = _CELLS.format(_text)
+    _QUERIES[_name] = _written(_kind, _suffix, _scale)
+
+
+@query(_CELLS.format("round(x, 6)"))
+def source_text_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lines of a key and numbers, to an fbin file in the order of the lines, and back."""
+    path, out = _file(spark, ".txt"), _file(spark, ".fbin")
+    lines = _points(spark, sf_dir).orderBy("id").select(F.concat_ws("\t", F.concat(F.lit("key"), F.col("id")), F.array_join(F.transform("v", lambda x: x.cast("string")), ",")).alias("value"))
+    lines.coalesce(1).write.text(path)
+    vector_files.text_to_bin(spark, path, out)
+    return _unnested(vector_files.read_vectors(spark, out))
+
+
+@query(_CELLS.format("round(x, 6)"))
+def sink_vectors_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, ".csv")
+    vector_files.vectors_to_csv(_points(spark, sf_dir), path)
+    back = spark.read.option("header", True).csv(path)
+    return _unnested(from_columns(back, "id", [c for c in back.columns if c != "id"]))
+
+
+@query(f"SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y, vec_id % {K} AS cid FROM embeddings")
+def sink_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    return vector_files.scatter(points, init.lazy(points, K)[1]).select("id", _r("x").alias("x"), _r("y").alias("y"), "cid")
+
+
+@query("SELECT n_nationkey AS row, [n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR][f] AS field, f - 1 AS pos FROM nation, range(1, 4) t(f)")
+def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small CSV table as a record file, and back."""
+    table, path = _file(spark, ".csv"), _file(spark, ".bin")
+    with open(table, "w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows(map(tuple, spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()))
+    record_files.csv_to_records(table, path)
+    return record_files.read_records(spark, path).select("row", F.posexplode("fields").alias("pos", "field"))

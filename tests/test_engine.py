@@ -4,9 +4,10 @@ from conftest import frame
 
 from centra.functions.distance import named, nearest
 from centra.operators import assign, init, lsh, primitives, update
-from centra.plans import quantized
-from centra.plans.ball import center_distances, neighbors
-from centra.plans.lloyd import StopRule
+from centra.plans import ball, quantized
+from centra.plans.ball import center_distances, near_centers, neighbors
+from centra.plans.lloyd import StopRule, lloyd_matrix
+from centra.plans.quantized import sides
 from centra.plans.runlog import RunLog, parse_init, parse_run
 from centra.plans.runners import POLICIES, RUNNERS, cluster, fit, init_log, msse
 
@@ -105,6 +106,50 @@ def test_pruning_spares_distances(spark):
         assert calls[-1] < calls[0] / 2, runner
 
 
+@pytest.mark.parametrize("runner", ["Naive", "YinyangSimp", "BallKmeans", "NaiveKmeans"])
+def test_iterations_take_flat_time(spark, runner):
+    """No stop: as many iterations as are asked for, the last as quick as the first."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    got = cluster(frame(spark, x), x[:8], runner, max_iter=24, epsilon=-1.0)
+    took = [i.assign_time + i.update_time for i in got.log.iterations]
+    assert len(took) == 24 and np.median(took[12:]) < 2 * np.median(took[:12]) + 0.3, took
+    want, best = lloyd_matrix(x, x[:8].copy(), 24, -1.0)
+    assert np.allclose(got.centers, want)
+
+
+def test_kmeans_plus_plus_of_many_centers(spark, monkeypatch):
+    """Across rebuilds, the same picks as by brute force."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    draws = [float(u) for u in rng.random(20)]
+    monkeypatch.setattr(init, "REBUILD", 8)
+    monkeypatch.setattr(init, "SCAN", 37)
+    at = [int(draws[0] * 300)]
+    for u in draws[1:]:
+        w = ((x[:, None] - x[None, at]) ** 2).sum(-1).min(1)
+        at.append(int(np.flatnonzero(np.concatenate([[0], np.cumsum(w)[:-1]]) <= u * w.sum())[-1]))
+    assert np.array_equal(init.kmeans_plus_plus(frame(spark, x), 20, draws=draws)[0], x[at])
+
+
+def test_signs_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(6)
+    planes = rng.normal(size=(64, 32))
+    x = rng.normal(size=(500, 32))
+    x[::5] -= (x[::5] @ planes[0] / (planes[0] @ planes[0]))[:, None] * planes[0]  # next to a plane
+    whole = sides(x, planes)
+    assert all(np.array_equal(whole[a : a + n], sides(x[a : a + n], planes)) for n in (1, 7, 250) for a in range(0, 500, n))
+
+
+def test_neighbors_by_blocks(monkeypatch):
+    c = np.random.default_rng(7).normal(size=(50, 3))
+    radius = np.random.default_rng(8).random(50)
+    want = neighbors(np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1)), radius)
+    monkeypatch.setattr(ball, "ENTRIES", 400)
+    near, far = near_centers(c, radius)
+    assert all(np.array_equal(a, b) for a, b in zip(near, want, strict=True)) and all(np.allclose(f, np.sqrt(((c[i] - c[n]) ** 2).sum(-1))) for i, (n, f) in enumerate(zip(near, far, strict=True)))
+
+
 def test_stop_rules():
     new, old = np.array([[3.0], [4.0]]), np.zeros((2, 1))
     assert StopRule("sum").stops(StopRule("sum").movement(new, old), 25)

@@ -25,7 +25,6 @@ def test_bin_files(spark, tmp_path, kind, code, values):
 
 @pytest.mark.parametrize("d", [4, 2, 3])
 def test_large_files_are_read_in_ranges(spark, tmp_path, monkeypatch, d):
-    monkeypatch.setattr(vector_files, "WHOLE", 0)
     monkeypatch.setattr(vector_files, "RANGE", 250)
     x = np.random.default_rng(0).normal(size=(101, d)).astype("<f4")
     path = str(tmp_path / "v.fbin")
