@@ -640,15 +640,15 @@ def _written(kind: str, suffix: str, scale):
 
 
 for _name, _kind, _suffix, _scale, _text in (
-    ("source_fbin", "float", ".fbin", lambda x: x, "round(x, 6)"),
-    ("source_u8bin", "uint8", ".u8bin", lambda x: (x + 1) * 127, "trunc((x + 1) * 127)"),
-    ("source_i8bin", "int8", ".i8bin", lambda x: x * 127, "trunc(x * 127)"),
+    ("source_fbin", "float", ".fbin", lambda x: x, "round(x, 6) + 0.0"),
+    ("source_u8bin", "uint8", ".u8bin", lambda x: (x + 1) * 127, "trunc((x + 1) * 127) + 0.0"),
+    ("source_i8bin", "int8", ".i8bin", lambda x: x * 127, "trunc(x * 127) + 0.0"),
 ):
     _SQL[_name] = _CELLS.format(_text)
     _QUERIES[_name] = _written(_kind, _suffix, _scale)
 
 
-@query(_CELLS.format("round(x, 6)"))
+@query(_CELLS.format("round(x, 6) + 0.0"))
 def source_text_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As lines of a key and numbers, to an fbin file in the order of the lines, and back."""
     path, out = _file(spark, ".txt"), _file(spark, ".fbin")
@@ -658,7 +658,7 @@ def source_text_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unnested(vector_files.read_vectors(spark, out))
 
 
-@query(_CELLS.format("round(x, 6)"))
+@query(_CELLS.format("round(x, 6) + 0.0"))
 def sink_vectors_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _file(spark, ".csv")
     vector_files.vectors_to_csv(_points(spark, sf_dir), path)
@@ -666,13 +666,13 @@ def sink_vectors_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unnested(from_columns(back, "id", [c for c in back.columns if c != "id"]))
 
 
-@query(f"SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y, vec_id % {K} AS cid FROM embeddings")
+@query(f"SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) + 0.0 AS x, round(embedding[2]::DOUBLE, 6) + 0.0 AS y, vec_id % {K} AS cid FROM embeddings")
 def sink_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
     return vector_files.scatter(points, init.lazy(points, K)[1]).select("id", _r("x").alias("x"), _r("y").alias("y"), "cid")
 
 
-@query("SELECT n_nationkey AS row, [n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR][f] AS field, f - 1 AS pos FROM nation, range(1, 4) t(f)")
+@query("SELECT n_nationkey::BIGINT AS row, [n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR][f] AS field, f - 1 AS pos FROM nation, range(1, 4) t(f)")
 def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small CSV table as a record file, and back."""
     table, path = _file(spark, ".csv"), _file(spark, ".bin")
