@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 #: Fixed value of byte-level vocabularies: how a text is split before merging.
 SPLIT = r""" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-START = -1
+START, LOW = -1, 0xFFFFFFFF
 NEVER = float("inf")
 #: Entries of the caches of a Python worker; a full cache is emptied.
-WORDS, ARCS, TRANSITIONS = 300_000, 600_000, 400_000
+WORDS, ARCS, TRANSITIONS = 200_000, 200_000, 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -74,14 +74,15 @@ class MergeAutomaton:
                 node = following
             self.ends[node] = i
         self.inner = {k >> 8 for k in self.trie}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         self._empty()
 
     def _empty(self) -> None:
         """A table with the state of the empty prefix only."""
-        self.states: list[tuple[tuple[int, int], ...]] = [((START, 0),)]
+        # Pairs of numbers are kept as one, the second in the low 32 bits.
+        self.states: list[tuple[int, ...]] = [(START + 1 << 32,)]
         self.number = {self.states[0]: 0}
-        self.table: dict[int, tuple[int, int]] = {}
+        self.table: dict[int, int] = {}
 
     def _gadget(self, u: int, v: int, w: int, rank: int) -> None:
         if w not in self.made:
@@ -115,33 +116,34 @@ class MergeAutomaton:
             token, until = self.made[token]
 
     def arc(self, state: int, token: int) -> bool:
-        known = self.arcs.get((state, token))
+        key = state + 1 << 32 | token
+        known = self.arcs.get(key)
         if known is None:
             if len(self.arcs) >= ARCS:
                 self.arcs.clear()
-            known = self.arcs[state, token] = self._expand(state, token)
+            known = self.arcs[key] = self._expand(state, token)
         return known
 
-    def transition(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state of the table, and the token that ends at this byte."""
+    def transition(self, state: int, byte: int) -> int:
+        """The next state of the table, and in the low 32 bits the token that ends at this byte."""
         open_, token = [], -1
-        for before, node in self.states[state]:
-            node = self.trie.get(node << 8 | byte, 0)
+        for pair in self.states[state]:
+            before, node = (pair >> 32) - 1, self.trie.get((pair & LOW) << 8 | byte, 0)
             if not node:
                 continue
             end = self.ends[node]
             if token < 0 <= end and self.arc(before, end):
                 token = end
             if node in self.inner:
-                open_.append((before, node))
+                open_.append(before + 1 << 32 | node)
         if token < 0:
             raise ValueError("the vocabulary lacks a byte of the word")
-        key = (*open_, (token, 0))
+        key = (*open_, token + 1 << 32)
         following = self.number.get(key)
         if following is None:
             following = self.number[key] = len(self.states)
             self.states.append(key)
-        got = self.table[state << 8 | byte] = following, token
+        got = self.table[state << 8 | byte] = following << 32 | token
         return got
 
     def encode(self, word: bytes) -> list[int]:
@@ -150,8 +152,11 @@ class MergeAutomaton:
             self._empty()
         known, state, last = self.table.get, 0, []
         for byte in word:
-            state, token = known(state << 8 | byte) or self.transition(state, byte)
-            last.append(token)
+            got = known(state << 8 | byte)
+            if got is None:
+                got = self.transition(state, byte)
+            state = got >> 32
+            last.append(got & LOW)
         at, ids, size = len(last), [], self.size
         while at:
             token = last[at - 1]

@@ -37,7 +37,7 @@ from centra.llm.words import Words, chunks
 SHINGLE, BUDGET, SEED = 3, 2, 42
 #: Fingerprints of a trie node that is a task's root, and the deepest level of such nodes.
 NODE_ROWS, TOP = 65_536, 16
-#: Rows of tasks that are searched at once, pairs of trie nodes that are descended at once, products of sizes that are compared outright, and comparisons at once.
+#: Rows of tasks, by columns of 64 bits, that are searched at once, pairs of trie nodes that are descended at once, products of sizes that are compared outright, and comparisons at once.
 ROWS, FRONTIER, DIRECT, COMPARED = 250_000, 500_000, 16, 2_000_000
 
 #: Of the dedup by similarity: columns of 64 bits in a fingerprint, and the bands of least hashes that texts meet in.
@@ -225,7 +225,7 @@ def _joined(dealt: DataFrame, keys: int, width: int, budget: int, labelled: bool
                 continue
             held.append(np.column_stack([c.to_numpy() for c in b.columns]))
             size += b.num_rows
-            if size >= ROWS:
+            if size >= ROWS // width:
                 rows = np.concatenate(held)
                 last = (rows[:, :keys] == rows[-1, :keys]).all(1)
                 held, size = [rows[last]], int(last.sum())

@@ -54,7 +54,7 @@ class Words:
         return int(mix((hashes + np.arange(1, len(hashes) + 1, dtype="u8") * K2) * K3).sum(dtype="u8"))
 
 
-def chunks(texts: list[str | None], size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters together; a longer text is a range by itself."""
     begin = total = 0
     for i, t in enumerate(texts):
