@@ -10,7 +10,7 @@ time in the square of the corpus. Its shards are cut by content instead: of the
 the one with the smallest hash decides the group, and equal windows agree on it. A maximal run of windows with
 one such hash is a segment.
 
-1. Equal texts become one, with the number of their copies. This is the only time that texts are shuffled, and one exchange serves all uses.
+1. Equal texts become one, with the number of their copies. Texts are only shuffled for this, but by every job that uses them.
 2. The deciding hashes of every text are counted. One that occurs once cannot belong to a repeated window.
 3. Texts are cut into segments whose hash occurs more often, and each goes to the shard of its group only. Where a hash
    occurs at over HOT places (a passage of a great many texts, with another text around it in each), its windows go by
