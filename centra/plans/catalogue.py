@@ -168,7 +168,7 @@ def init_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.query([*_CHUNKED, "z AS (SELECT id AS cid, v AS c FROM p WHERE id < 10)", sql.mean("m", "a", "z")], sql.cells("m")))
 def init_lsh_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(spark, init.lsh_chunks(_points(spark, sf_dir), K, planes=PLANES)[0])
+    return cells(spark, init.lsh_chunks(_points(spark, sf_dir), K, planes=PLANES, exact=False)[0])  # like the SQL, for any number of points
 
 
 @query(sql.query(_HASHED, "SELECT id, hash FROM x"))

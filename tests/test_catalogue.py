@@ -34,3 +34,12 @@ def test_stratified_sample_draws_from_all_points(spark, tmp_path):
     spark.range(2000).selectExpr("id AS vec_id", "id % 7 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = sorted(r.id for r in catalogue.stratified_sample(spark, str(tmp_path)).collect())
     assert [i // 80 for i in got] == list(range(25))
+
+
+def test_lsh_centers_of_a_number_of_points_that_k_does_not_divide(spark, tmp_path):
+    points = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 257").coalesce(1)
+    points.write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = catalogue.init_lsh_centers(spark, str(tmp_path))
+    assert rounded(got.collect()) == rounded(c.sql(catalogue.oracle_sql()["init_lsh_centers"]).select(*got.columns).fetchall())
