@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import acos, ceil, floor, pi, sqrt
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,10 @@ ROWS, FRONTIER, DIRECT, COMPARED = 250_000, 500_000, 16, 2_000_000
 
 #: Of the dedup by similarity: columns of 64 bits in a fingerprint, and the bands of least hashes that texts meet in.
 SIMILARITY, COLUMNS, BANDS, BAND_ROWS = 0.8, 4, 24, 3
-#: Texts of a band, and of a group to be verified, that one task holds twice at most; rows that are broadcast at most.
-CHUNK, VERIFIED, BROADCAST = 4096, 512, 1_000_000
+#: Texts of a band, and texts and bytes of a group to be verified, that one task holds twice at most; rows that are broadcast at most.
+CHUNK, VERIFIED, SETS, BROADCAST = 4096, 4096, 4 << 20, 1_000_000
+#: Sets of a group that a hash is in, up to which sets are looked up by it.
+RARE = 32
 
 
 def words(text: str | None) -> list[bytes]:
@@ -184,7 +186,7 @@ def _spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[n
 
 
 def _search(keys: np.ndarray, side: np.ndarray, node: np.ndarray, x: np.ndarray, budget: int, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes; `keys` has equal rows next to each other, x the fingerprints, the highest 64 bits first."""
+    """Pairs of nodes: a spanning forest, or with labels all pairs whose labels differ; `keys` has equal rows next to each other, x the fingerprints, the highest 64 bits first."""
     edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]]))
     number = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     order = np.lexsort((*x.T[::-1], side, number))
@@ -206,18 +208,15 @@ def _search(keys: np.ndarray, side: np.ndarray, node: np.ndarray, x: np.ndarray,
     return node[i], node[j]
 
 
-def _joined(dealt: DataFrame, keys: int, width: int, budget: int, labelled: bool = False) -> DataFrame:
-    """Rows to edges (u, v). A row is a task's key, whose last two columns are the task's two trie nodes, the side that the row is on, the row's node, `width` columns of its fingerprint and its label, if any; a task's rows are together.
-
-    Without labels the edges make a spanning forest of each task's pairs within the budget, with labels they are all pairs whose labels differ.
-    """
+def _joined(dealt: DataFrame, keys: int, width: int, budget: int) -> DataFrame:
+    """Rows to edges (u, v), a spanning forest of each task's pairs within the budget. A row is a task's key, whose last two columns are the task's two trie nodes, the side that the row is on, the row's node, and `width` columns of its fingerprint; a task's rows are together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def search(rows: np.ndarray) -> pa.RecordBatch:
             x = np.ascontiguousarray(rows[:, keys + 2 : keys + 2 + width]).view("u8")
-            u, v = _search(rows[:, :keys], rows[:, keys], rows[:, keys + 1], x, budget, rows[:, -1] if labelled else None)
+            u, v = _search(rows[:, :keys], rows[:, keys], rows[:, keys + 1], x, budget, None)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64())], ["u", "v"])
 
         for b in batches:
@@ -364,48 +363,124 @@ def _together(rows: DataFrame) -> DataFrame:
 
 
 def _verified(edges: DataFrame, texts: DataFrame, shingle: int, share: Fraction) -> DataFrame:
-    """Of the edges (u, v) those whose sets of shingles have a cosine of at least `share`; texts are (node, text).
+    """Edges (u, v) that connect what is linked by a cosine of at least `share` of the sets of shingles, among the texts that `edges` connect; texts are (node, text).
 
-    The sets meet by component of the edges, each text's once. A component of over VERIFIED texts is
-    cut into parts, and each pair of parts that has an edge is a task by itself.
+    A component of the edges is a task, to which each text's set goes once, whatever the number of its pairs. One of over VERIFIED
+    texts or SETS bytes of sets is cut into parts, and each pair of parts is a task by itself.
     """
     rooted = graph.components(edges)
-    members = rooted.select("node", "root").unionAll(rooted.select(F.col("root").alias("node"), "root")).distinct()
-    sizes = members.groupBy(F.col("root").alias("root_")).agg(F.ceil(F.count("*") / VERIFIED).cast("bigint").alias("parts_"))
-    part = cut(members.join(sizes, F.col("root") == F.col("root_")).select("node", "root", F.pmod(F.xxhash64("node"), "parts_").alias("part")))
-    left, right = (part.select(F.col("node").alias(f"node_{x}"), F.col("root").alias(f"root_{x}"), F.col("part").alias(f"part_{x}")) for x in "uv")
-    placed = cut(edges.join(left, F.col("u") == F.col("node_u")).join(right, F.col("v") == F.col("node_v")).select(F.col("root_u").alias("key"), F.least("part_u", "part_v").alias("a"), F.greatest("part_u", "part_v").alias("b"), "u", "v"))
-    ends = placed.select("key", "a", "b", F.col("u").alias("node")).unionAll(placed.select("key", "a", "b", F.col("v").alias("node"))).distinct()
-    wanted = cut(ends.select(F.col("node").alias("node_")).distinct())
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    members = cut(rooted.select("node", "root").unionAll(rooted.select(F.col("root").alias("node"), "root")).distinct())
+    wanted = members.select(F.col("node").alias("node_"))
+    few = F.broadcast(wanted) if members.count() <= BROADCAST else wanted
     once = texts.join(few, F.col("node") == F.col("node_"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for _, h in shingle_sets(b.column(1).to_pylist(), shingle)], pa.binary())], ["of", "hashes"])
-
-    hashed = once.select("node", "text").mapInArrow(sets, "of bigint, hashes binary")
-    sides = ends.join(hashed, F.col("node") == F.col("of")).select("key", "a", "b", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "hashes")
-    rows = sides.unionAll(placed.select("key", "a", "b", "u", "v", F.lit(None).cast("binary").alias("hashes")))
+                raw = [h.tobytes() for _, h in shingle_sets(b.column(1).to_pylist(), shingle)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array(raw, pa.binary())], ["of", "size", "hashes"])
+
+    hashed = cut(once.select("node", "text").mapInArrow(sets, "of bigint, size bigint, hashes binary"))
+    sizes = members.join(hashed.select("of", "size"), F.col("node") == F.col("of")).groupBy(F.col("root").alias("root_"))
+    large = cut(sizes.agg(F.ceil(F.greatest(F.count("*") / VERIFIED, F.sum("size") / SETS)).cast("bigint").alias("parts_")).where("parts_ > 1"))
+    placed = members.join(F.broadcast(large) if large.count() <= BROADCAST else large, F.col("root") == F.col("root_"), "left")
+    own = placed.select("node", F.col("root").alias("key"), "parts_", F.pmod(F.xxhash64("node"), "parts_").alias("own"))
+    other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("parts_") - 1), lambda o: o != F.col("own"))
+    both = F.transform(F.when(F.col("parts_") > 1, other).otherwise(F.array(F.lit(0).cast("bigint"))), lambda o: F.struct(F.least("own", o).alias("a"), F.greatest("own", o).alias("b")))
+    rows = own.join(hashed.select("of", "hashes"), F.col("node") == F.col("of")).select("key", "node", "hashes", F.inline(both))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held = None, {}
+        task, nodes, held = None, [], []
+
+        def found() -> pa.RecordBatch:
+            i, j = _forest(held, share)
+            at = np.array(nodes, "i8")
+            return pa.RecordBatch.from_arrays([pa.array(at[i], pa.int64()), pa.array(at[j], pa.int64())], ["u", "v"])
+
         for b in batches:
-            out: list[tuple[int, int]] = []
-            for k, a, c, u, v, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if (k, a, c) != task:
-                    task, held = (k, a, c), {}
-                if v is None:
-                    held[u] = np.frombuffer(raw, "u8")
-                elif _similar(held[u], held[v], share):
-                    out.append((u, v))
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+            for *own, node, raw in zip(*(b.column(c).to_pylist() for c in ("key", "a", "b", "node", "hashes")), strict=True):
+                if own != task:
+                    if task:
+                        yield found()
+                    task, nodes, held = own, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(raw, "u8"))
+        if task:
+            yield found()
+
+    return _together(rows).mapInArrow(run, "u bigint, v bigint")
+
 
-    # A task's sets come before its edges.
-    together = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", F.col("v").asc_nulls_first())
-    return together.mapInArrow(run, "u bigint, v bigint")
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of n from start."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _forest(sets: list[np.ndarray], share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that make a spanning forest of the links: the pairs of sets (hashes, in order) with a cosine of at least `share`.
+
+    Sets are looked up one after another, the most typical first; those of the largest component so far are passed over, since
+    a link out of it is found from its other end. A lookup counts the common hashes, exactly, with the sets that have a rare hash (in up to RARE sets) in common, and with those
+    to which the frequent hashes alone could be enough, by both sets' numbers of them.
+    """
+    if len(sets) == 2:
+        linked = np.arange(1 if _similar(*sets, share) else 0)
+        return linked, linked + 1
+    given = np.argsort([len(h) for h in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in given])
+    at, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    ids = np.unique(np.concatenate([sets[i] for i in given]), return_inverse=True)[1].astype("i4")
+    common = np.bincount(ids)
+    rare = (common > 1) & (common <= RARE)
+    where = np.flatnonzero(rare[ids])
+    posted = owner[where[np.argsort(ids[where], kind="stable")]]
+    length = np.where(rare, common, 0)
+    post = np.cumsum(length) - length
+    frequent = np.bincount(owner, weights=common[ids] > RARE, minlength=len(size)).astype("i8")
+    typical = np.bincount(owner, weights=common[ids], minlength=len(size)) / size
+    p, q = share.numerator**2, share.denominator**2
+    label, count, largest = np.arange(len(size)), np.ones(len(size), "i8"), -1
+    own, done, one, two = np.zeros(len(common), bool), np.zeros(len(size), bool), [], []
+    while len(left := np.flatnonzero(~done & (label != largest))):
+        for u in left[np.argsort(-typical[left], kind="stable")].tolist():
+            if label[u] == largest:
+                continue
+            done[u] = True
+            hashes = ids[at[u] : at[u] + size[u]]
+            low, high = np.searchsorted(size, [-(-p * size[u] // q), size[u] * q // p + 1])
+            enough = low + np.flatnonzero(np.minimum(frequent[low:high], frequent[u]) ** 2 * q >= p * size[u] * size[low:high])
+            few = hashes[rare[hashes]]
+            near = np.unique(np.concatenate([enough, posted[_spread(post[few], length[few])]]))
+            near = near[(near >= low) & (near < high) & (label[near] != label[u])]
+            if not len(near):
+                continue
+            own[hashes] = True
+            met = np.concatenate([_met(own, ids, at[some], size[some]) for some in _blocks(near, size)])
+            own[hashes] = False
+            near = near[met**2 * q >= p * size[u] * size[near]]
+            if len(near):
+                labels, first = np.unique(label[near], return_index=True)
+                one.append(np.full(len(first), u))
+                two.append(near[first])
+                into, total = label[u], count[labels].sum()
+                label[np.isin(label, labels)] = into
+                count[into] += total
+                if largest < 0 or largest in labels or count[into] > count[largest]:
+                    largest = into
+    i, j = (np.concatenate([np.zeros(0, "i8"), *c]) for c in (one, two))
+    return given[i], given[j]
+
+
+def _blocks(near: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Cut where the sets together go on over COMPARED hashes."""
+    total = np.cumsum(size[near]) // COMPARED
+    return np.split(near, np.flatnonzero(total[1:] != total[:-1]) + 1)
+
+
+def _met(own: np.ndarray, ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many hashes of each set are own ones."""
+    return np.add.reduceat(own[ids[_spread(at, size)]], np.cumsum(size) - size, dtype="i8")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, share: Fraction) -> bool:
@@ -419,10 +494,10 @@ def _similar(a: np.ndarray, b: np.ndarray, share: Fraction) -> bool:
     return common**2 * share.denominator**2 >= share.numerator**2 * low * high
 
 
-def budgets(similarity: float, bits: int = 64 * COLUMNS) -> tuple[int, int]:
-    """Bits that two fingerprints differ in at that cosine: the mean, and four standard deviations beyond it."""
+def budget(similarity: float, bits: int = 64 * COLUMNS) -> int:
+    """Bits that two fingerprints at that cosine differ in at most: four standard deviations beyond the mean."""
     angle = acos(similarity) / pi
-    return floor(bits * angle), ceil(bits * angle + 4 * sqrt(bits * angle * (1 - angle)))
+    return ceil(bits * angle + 4 * sqrt(bits * angle * (1 - angle)))
 
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -433,19 +508,17 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
     above that cosine, so whatever has `similarity` by Jaccard is linked too. Fingerprints have 64 * COLUMNS bits over the different shingles.
     A budget of a fifth of the bits hardly prunes the top of a trie, so the tries that are joined are
     those of the texts that share one of BANDS bands of BAND_ROWS least hashes. Of two texts of equal size at the threshold, no band
-    is shared with a probability of 2.2e-4, at a Jaccard similarity of 0.8 of 3e-8; fewer than 1e-4 at the threshold differ in more bits than the wider budget.
+    is shared with a probability of 2.2e-4, at a Jaccard similarity of 0.8 of 3e-8; fewer than 1e-4 at the threshold differ in more bits than the budget.
 
-    Two rounds keep candidates few. The first joins within the mean of bits at the threshold, and each task hands on a spanning
-    forest of such pairs, which is verified. The second joins within the wider budget, but descends no pair
-    of trie nodes that verified links have already put into one component. Candidates of the second round grow with the square of a group
-    of different texts that are near the threshold to each other, but not linked.
+    No step writes pairs. A task of the join hands on a spanning forest of those within the budget, so it has fewer edges than texts; the texts that
+    edges connect meet once, with their sets, and are linked there by an index of the shingles. Linked or not, a group's texts
+    are one row each until it is cut into parts (see `_verified`). Comparisons of fingerprints grow with the square of a band's texts that are within the budget.
 
     Equal texts (by a 64-bit hash of their words) are one node. Rows with one id and one text are one row, and one of them stays. Null and
     empty texts are copies of each other. A row without an id stays only if no other of its group has one; ids that are no
     numbers count as none. Of several with the same id the one whose text has the smaller hash stays.
     """
     share = Fraction(str(similarity))
-    near, far = budgets(similarity)
     marked = docs.select("*", F.expr("try_cast(doc_id AS bigint)").alias("id__"), F.xxhash64("text").alias("mark__"))
     got = cut(sketches(marked.select(F.col("id__").alias("doc_id"), F.col("mark__").alias("mark"), "text"), shingle))
     prints = [f"f{i}" for i in range(COLUMNS)]
@@ -455,12 +528,8 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) ->
     named = cut(got.groupBy("mark").agg(F.min("node").alias("node")).join(dealt.select(F.col("node").alias("in_")).distinct(), F.col("node") == F.col("in_"), "left_semi"))
     names = F.broadcast(named) if named.count() <= BROADCAST else named
     texts = marked.select("text", "mark__").join(names, F.col("mark__") == F.col("mark")).select("node", "text")
-    first = cut(_joined(_together(dealt), 3, COLUMNS, near).distinct())
-    sure = cut(_verified(first, texts, shingle, share))
-    label = graph.components(sure).select(F.col("node").alias("of_"), "root")
-    labelled = dealt.join(label, F.col("node") == F.col("of_"), "left").select(*dealt.columns, F.coalesce("root", "node").alias("label"))
-    more = cut(_joined(_together(labelled), 3, COLUMNS, far, True).distinct())
-    joined = graph.components(sure.unionAll(_verified(more, texts, shingle, share)))
+    proposed = _joined(_together(dealt), 3, COLUMNS, budget(similarity)).distinct()
+    joined = graph.components(_verified(proposed, texts, shingle, share))
 
     # Copies are summed up by node before they are joined.
     first_of = lambda c: F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias(c)

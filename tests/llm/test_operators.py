@@ -5,6 +5,7 @@ import json
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -775,6 +776,41 @@ def test_dedup_equals_brute_force(spark, monkeypatch, chunk):
     assert got == least, (len(got - least), len(least - got))
 
 
+@pytest.mark.parametrize("rare", [0, 2, 32])
+def test_forest_of_sets_equals_brute_force(monkeypatch, rare):
+    monkeypatch.setattr(simhash, "RARE", rare)
+    rng = np.random.default_rng(rare)
+    for _ in range(60):
+        base = [rng.integers(0, 1 << 63, rng.integers(5, 60), dtype="u8") for _ in range(2)]
+        sets = []
+        for _ in range(rng.integers(2, 40)):
+            own = base[rng.integers(2)].copy()
+            own[rng.integers(0, len(own), rng.integers(0, len(own) // 2 + 1))] = rng.integers(0, 60)
+            sets.append(np.unique(own[: len(own) - rng.integers(0, len(own) // 3 + 1)]))
+        close = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and 25 * len(np.intersect1d(sets[i], sets[j])) ** 2 >= 16 * len(sets[i]) * len(sets[j])}
+        i, j = simhash._forest(sets, Fraction(4, 5))
+        pairs, want = list(zip(i.tolist(), j.tolist(), strict=True)), components(range(len(sets)), close)
+        assert set(pairs) <= close and components(range(len(sets)), pairs) == want and len(pairs) == len(sets) - len(set(want.values()))
+
+
+def test_rows_of_a_group_near_the_threshold_grow_with_its_texts(spark, monkeypatch):
+    """Versions of one text, most of them not linked to another: edges that are proposed stay below texts times bands."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for n in range(300):
+        own = list(base)
+        for k in rng.sample(range(150), 6):
+            own[k] = f"x{n}_{k}"
+        texts.append(" ".join(own))
+    near = {(i, j) for i in range(len(texts)) for j in range(i) for c, n in [cosine_of(texts[i], texts[j])] if 25 * c >= 16 * n}
+    seen, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda edges, *rest: (seen.append(edges.count()), verified(edges, *rest))[1])
+    got = {r.doc_id for r in simhash.dedup(documents(spark, texts)).collect()}
+    assert got == set(components(range(len(texts)), near).values()) and len(got) > 200
+    assert 0 < max(seen) <= simhash.BANDS * len(texts)
+
+
 def test_near_copies_of_the_test_data(spark):
     """Of all pairs of the table at the threshold, by exact comparison of all pairs, the share whose later text is removed."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null").collect()
